@@ -1,10 +1,63 @@
-"""Corpus cleaning as a chain of stages over ``documents``."""
+"""Corpus cleaning as a chain of stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import documents, materialize, without
+from graphloom.llm.decontaminate import contained_items
+from graphloom.llm.language_id import keep_known
+from graphloom.llm.near_dedup import near_duplicates
+from graphloom.llm.sentencepiece_match import encode_decode
+from graphloom.llm.toxicity import keep_harmless
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows predicted toxic go; empty and null texts stay."""
+    return keep_harmless(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a letter, and those for which no language reaches a score of 0.5, go."""
+    return keep_known(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near-duplicates stays. Rows that repeat a doc_id stay or go together."""
+    return without(docs, near_duplicates(docs).where("not kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that contain three quarters of a benchmark item's shingles go."""
+    return without(docs, contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_ids, same): SentencePiece ids, and whether they decode to the text."""
+    coded = encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "same")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode),
+]
+
+#: A trained classifier and iterated components cannot be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

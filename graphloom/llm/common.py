@@ -88,3 +88,15 @@ def probe(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def without(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is not in ``ids``. Rows that miss the bitmap are kept where they are; only those
+    that may be in ``ids`` are shuffled and compared."""
+    ids = materialize(ids.select(F.col(column).alias("_gone")).where("_gone is not null").distinct(), "gone")
+    bits = materialize(bitmap(ids, "_gone"), "bits").withColumnRenamed("word", "_word").withColumnRenamed("bits", "_bits")
+    word = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_WORDS)).cast("int")
+    hit = F.coalesce(F.expr(f"shiftright(_bits, cast(pmod(shiftright(xxhash64({column}), 24), 64) as int)) & 1"), F.lit(0)) == 1
+    marked = df.withColumn("_word", word).join(F.broadcast(bits), "_word", "left").withColumn("_hit", hit)
+    maybe = marked.where("_hit").join(ids, F.col(column) == F.col("_gone"), "left_anti")
+    return marked.where("not _hit").union(maybe).select(*df.columns)
