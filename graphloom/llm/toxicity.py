@@ -16,6 +16,8 @@ MAX_TOXIC, MAX_CLEAN = 4000, 8000
 MAX_VOTERS = 1024
 #: Lengths in bytes of the word beginnings that are pattern voters, beside whole words.
 PREFIXES = (4, 5, 6)
+#: Log odds of a label being right.
+LABEL_ODDS = 4.0
 #: Labelled documents of one class that a lexicon entry must occur in.
 LEAST_SUPPORT = 3
 #: Surface patterns: shares of all bytes above which a pattern votes.
@@ -94,12 +96,13 @@ def held_out(column: str = "doc_id", parts: int = 5, part: int = 0):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, weight: np.ndarray, rounds: int = 5) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, start: np.ndarray, weight: np.ndarray, known: np.ndarray, rounds: int = 5) -> tuple[np.ndarray, dict]:
     """Posterior labels by expectation maximisation over votes (rows x voters, 0 or 1).
 
     Each voter fires with one rate on toxic and another on clean texts. Residual correlations between voters, given
     the label, tell how far voters repeat each other; a voter's evidence is divided by the sum of its own.
-    ``start`` gives the first responsibilities, ``weight`` undoes the sampling of the classes.
+    ``start`` gives the first responsibilities, ``weight`` undoes the sampling of the classes, ``known`` is the
+    evidence of the labels themselves, as log odds.
     """
     q = start.astype(float)
     x = votes.astype(float)
@@ -113,7 +116,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, weight: np.ndarray, rounds
         scale = np.sqrt((residual**2).sum(0)) + 1e-9
         rho = (residual.T @ residual) / np.outer(scale, scale)
         share = 1 / np.maximum(1, np.where(rho > 0.3, rho, 0).sum(0))
-        logit = np.log(prior / (1 - prior)) + x @ (share * np.log(a / b)) + (1 - x) @ (share * np.log((1 - a) / (1 - b)))
+        logit = known + np.log(prior / (1 - prior)) + x @ (share * np.log(a / b)) + (1 - x) @ (share * np.log((1 - a) / (1 - b)))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         info = {"prior": prior, "fires_on_toxic": a, "fires_on_clean": b, "correlations": rho, "share": share}
     return q, info
@@ -166,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         x[:, len(keys) + k] = (s >> k) & 1
     y = rows["y"].to_numpy()
     weight = np.where(y == 1, sizes[1] / pos, sizes[0] / neg)
-    q, _ = label_model(x, 0.02 + 0.96 * y, weight)
+    q, _ = label_model(x, 0.02 + 0.96 * y, weight, np.where(y == 1, LABEL_ODDS, -LABEL_ODDS))
+    # both classes weigh the same, so 0.5 is the border between them
+    weight = np.where(y == 1, 1 / pos, 1 / neg)
     w, c = linear_classifier(x, q, weight)
     return {"keys": keys, "w": w, "c": c}
 
