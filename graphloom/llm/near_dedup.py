@@ -69,6 +69,10 @@ def _sets(n: int):
     return run
 
 
+#: SQL for a set's hashes as a bitmap of 1,024 bits.
+_BITS = "transform(sequence(0L, 15L), i -> aggregate(filter(items, x -> (x & 15L) = i), 0L, (s, x) -> s | shiftleft(1L, cast(shiftright(x, 4) & 63L as int))))"
+
+
 def _close(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
@@ -81,8 +85,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = K, n: int = 5)
     2. Inverted lists over the classes' values: a class is listed under its rarest values only, as many as a set at
        the threshold can miss; a value that one class holds makes no list. A passage shared by many documents is
        thus no list of its own unless it makes up most of a document.
-    3. Each list compares its members with its smallest; after these links are contracted, lists whose members are
-       still in different components compare across components. Pairs inside a component are never made.
+    3. Each list compares its members with its hub, and these links are contracted. Classes of lists that still
+       hold different components are listed anew by their full sets, under the rarest quarter of the shingles, which
+       leaves out common passages exactly; these lists compare across components. Pairs inside a component are
+       never made.
     4. Candidates must have sizes and union-sketch estimates that allow the threshold; then the full sets are
        intersected. Links are contracted to components; ``kept`` marks the smallest id of each.
 
@@ -114,28 +120,45 @@ def _links(base: DataFrame, classes: DataFrame, percent: int, k: int, n: int) ->
     need = F.when(F.col("n") * 100 < k * percent, F.ceil(F.col("n") * percent / 100.0)).otherwise(F.lit(LEAST_SHARED))
     lists = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("l"))
     keep = (F.least("n", F.lit(k)) - need + 1) - (F.least("n", F.lit(k)) - F.size("l"))
-    idx = lists.withColumn("keep", keep.cast("int")).where("keep > 0").select("cls", "n", F.explode(F.slice("l", 1, F.least("keep", F.size("l")))).alias("e")).select("cls", "n", "e.v")
+    idx = lists.withColumn("keep", keep.cast("int")).where("keep > 0").select("cls", "n", F.size("l").alias("m"), F.explode(F.slice("l", 1, F.least("keep", F.size("l")))).alias("e")).select("cls", "n", "m", "e.v")
     idx = materialize(idx, "lists")
     cand = materialize(classes.join(idx.select("cls").distinct(), "cls", "left_semi"), "candidates")
     bits = materialize(bitmap(cand.select("rep"), "rep"), "bits")
     sets = probe(base, "doc_id", bits).mapInArrow(_sets(n), "doc_id long, cls binary, items array<long>")
     sets = materialize(sets.join(cand.select(F.col("rep").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "items"), "sets")
-    hubs = materialize(idx.groupBy("v").agg(F.min(F.struct("cls", "n")).alias("h")).select("v", "h.cls", "h.n").toDF("v", "a", "na"), "hubs")
+    # the hub of a list is the member with the most values that others have too: the likely origin of its copies
+    hubs = materialize(idx.groupBy("v").agg(F.max(F.struct("m", "cls", "n")).alias("h")).select("v", "h.cls", "h.n").toDF("v", "a", "na"), "hubs")
     star = idx.join(hubs, "v").where((F.col("cls") != F.col("a")) & _close("n", "na", percent)).select("a", F.col("cls").alias("b")).distinct()
     first = materialize(_verify(star, cand, sets, percent, k), "links")
     label = materialize(connected_components(first).select(F.col("node").alias("cls"), "label"), "first_labels")
     tagged = materialize(idx.join(label, "cls", "left").select("v", "cls", "n", F.coalesce("label", "cls").alias("label")), "tagged")
-    open_ = materialize(tagged.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v"), "open")
-    rest = materialize(tagged.join(open_, "v"), "rest")
-    other = rest.toDF("v", "b", "nb", "lb")
-    cross = rest.toDF("v", "a", "na", "la").join(other, "v").where("a < b and la <> lb").where(_close("na", "nb", percent)).select("a", "b").distinct()
-    cross = cross.join(_judged(hubs, idx), ["a", "b"], "left_anti")
+    rest = _open(tagged).select("cls", "n", "label").distinct()
+    # what is left is listed by full sets: exactly, the rarest quarter of a document's shingles
+    deep = materialize(rest.join(sets, "cls").select("cls", "n", "label", F.explode("items").alias("v")), "deep")
+    counts = materialize(deep.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    full = deep.join(counts, "v").groupBy("cls", "n", "label").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("l"))
+    keep = F.size("l") - F.ceil(F.col("n") * percent / 100.0) + 1
+    full = full.withColumn("keep", keep.cast("int")).where("keep > 0").select("cls", "n", F.size("l").alias("m"), "label", F.posexplode(F.slice("l", 1, F.least("keep", F.size("l")))).alias("at", "e")).select("e.v", "cls", "n", (F.col("m") - F.col("at")).alias("m"), "label")
+    bits = rest.join(sets, "cls").select("cls", F.expr(_BITS).alias("bits")).select("cls", *(F.col("bits")[i].alias(f"x{i}") for i in range(16)))
+    full = materialize(_open(materialize(full, "full_lists")).join(bits, "cls"), "open")
+    # two sets share at most what either has left in its list (shingles that some other set has, rarest first) from
+    # the first entry in common on: m of n
+    side = lambda c: full.toDF(*("v" if x == "v" else f"{x}{c}" for x in full.columns))
+    # and at most what the bits that only one of them has leave
+    only = " + ".join("bit_count(x{0}{{0}} & ~x{0}{{1}})".format(i) for i in range(16))
+    left = f"least(na - ({only.format('a', 'b')}), nb - ({only.format('b', 'a')}))"
+    possible = " AND ".join(f"100 * ({most}) >= {percent} * (na + nb - {most})" for most in ("least(ma, mb)", left))
+    # of two entries with different labels one at least is not of the list's most frequent label
+    major = full.groupBy("v", "label").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "label")).alias("m")).select("v", F.col("m.label").alias("most"))
+    minor = materialize(side("a").join(materialize(major, "major"), "v").where("labela <> most").drop("most"), "minor")
+    cross = minor.join(side("b"), "v").where("labela <> labelb").where(possible).select(F.least("clsa", "clsb").alias("a"), F.greatest("clsa", "clsb").alias("b")).distinct()
     return first.union(_verify(cross, cand, sets, percent, k))
 
 
-def _judged(hubs: DataFrame, idx: DataFrame) -> DataFrame:
-    """The pairs that the first round has judged, smaller class first."""
-    return idx.join(hubs, "v").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+def _open(lists: DataFrame) -> DataFrame:
+    """The entries of the lists (v, cls, n, label) that hold more than one component."""
+    mixed = lists.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
+    return lists.join(materialize(mixed, "mixed"), "v")
 
 
 def _verify(pairs: DataFrame, cand: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
