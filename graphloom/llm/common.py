@@ -98,5 +98,6 @@ def without(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     word = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_WORDS)).cast("int")
     hit = F.coalesce(F.expr(f"shiftright(_bits, cast(pmod(shiftright(xxhash64({column}), 24), 64) as int)) & 1"), F.lit(0)) == 1
     marked = df.withColumn("_word", word).join(F.broadcast(bits), "_word", "left").withColumn("_hit", hit)
-    maybe = marked.where("_hit").join(ids, F.col(column) == F.col("_gone"), "left_anti")
-    return marked.where("not _hit").union(maybe).select(*df.columns)
+    # an outer join: an anti-join would be moved under the probe, and shuffle all rows
+    maybe = marked.where("_hit").join(ids, F.col(column) == F.col("_gone"), "left").where("_gone is null")
+    return marked.where("not _hit").select(*df.columns).union(maybe.select(*df.columns))

@@ -55,7 +55,9 @@ def train(docs: DataFrame, target_ids: DataFrame) -> dict[str, np.ndarray]:
     """
     prepare(docs.sparkSession)
     ids = target_ids.select("doc_id").where("doc_id is not null").distinct()
-    chosen = probe(docs.select("doc_id", "text"), "doc_id", materialize(bitmap(ids, "doc_id"), "bits")).join(ids, "doc_id", "left_semi")
+    chosen = probe(docs.select("doc_id", "text"), "doc_id", materialize(bitmap(ids, "doc_id"), "bits")).join(ids, "doc_id")  # inner: a semi-join would be moved under the probe
+    # a task's table of counts is as large for few texts as for many
+    chosen = chosen.coalesce(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
     parts = docs.select("text").mapInArrow(_count, "cell int, n long").select("cell", F.col("n").alias("b"), F.lit(0).cast("long").alias("t"))
     parts = parts.union(chosen.select("text").mapInArrow(_count, "cell int, n long").select("cell", F.lit(0).cast("long"), "n"))
     table = materialize(parts.groupBy("cell").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "ngrams").toArrow()
