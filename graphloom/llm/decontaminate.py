@@ -43,9 +43,9 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, n: int
     shingle, so it matches only an equal one. Repeated rows and repeated ids give one row for each pair of ids, the
     one with the largest containment. Empty tables give no rows; other columns are ignored.
     """
-    entries = with_shingles(items.select("item_id", "text").distinct(), "text", n).where("size(sh) > 0").select("item_id", "sh", F.size("sh").alias("ni"))
-    entries = entries.withColumn("class", F.floor(F.log2("ni")).cast("int"))
-    entries = materialize(entries, "items")
+    # written before it is filtered: a filter on ``sh`` would be moved below and repeat its whole expression
+    entries = materialize(with_shingles(items.select("item_id", "text").distinct(), "text", n), "items")
+    entries = entries.withColumn("ni", F.size("sh")).where("ni > 0").withColumn("class", F.floor(F.log2("ni")).cast("int"))
     small, large = entries.where(f"ni <= {LARGE_ITEM}"), entries.where(f"ni > {LARGE_ITEM}")
     probes = small.withColumn("v", F.explode(F.slice(F.array_sort("sh"), 1, MINIMA)))
     size = probes.agg(F.sum(F.col("ni") * 8 + 64)).first()[0] or 0
@@ -67,12 +67,12 @@ def _result(df: DataFrame, percent: int) -> DataFrame:
 
 def _probe(own: DataFrame, probes: DataFrame, percent: int) -> DataFrame:
     table = F.broadcast(probes.select("v", "item_id", "ni", F.col("sh").alias("ish")))  # SLICE_BYTES at most
-    exploded = own.select("doc_id", "sh", F.size("sh").alias("nd"), F.explode("sh").alias("v"))
+    exploded = own.select("doc_id", "sh", F.size("sh").alias("nd"), F.explode_outer("sh").alias("v"))  # outer: no filter on ``sh`` is inferred
     hits = exploded.join(table, "v").where(f"100 * nd >= {percent} * ni")
     return _result(hits.withColumn("n_shared", F.size(F.array_intersect("ish", "sh"))), percent)
 
 
 def _shuffled(own: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     parts = large.select("item_id", "ni", F.explode("sh").alias("v"))
-    hits = own.where(f"100L * size(sh) >= {percent}L * {LARGE_ITEM}").select("doc_id", F.explode("sh").alias("v")).distinct().join(parts, "v")
+    hits = own.select("doc_id", F.explode_outer("sh").alias("v")).distinct().join(parts, "v")
     return _result(hits.groupBy("doc_id", "item_id", "ni").agg(F.count("*").alias("n_shared")), percent)
