@@ -475,17 +475,18 @@ def search_cascade(spark, sf):
 
 
 def _refs(spark, sf) -> DataFrame:
-    """A reference from each order's method to the name of a part and to a qualified one, by the order's key."""
+    """A reference from each order's method: to a part's qualified name, to the order's class, or to a part's name in capitals."""
     o = _read(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 2000).alias("k"), "o_orderpriority")
     n = _n(spark, sf)
     parts = n.where("kind = 'function'").select(F.col("start_line").cast("bigint").alias("k"), "name", "qualified_name")
+    owner = n.where("kind = 'method'").select(F.col("start_line").cast("bigint").alias("o_orderkey"), F.substring_index("qualified_name", "::", 1).alias("owner"))
     m = n.where("kind = 'method'").select(F.col("id").alias("from_node_id"), "file_path", "language", F.col("start_line").alias("line"), F.col("start_line").cast("bigint").alias("o_orderkey"))
-    rows = o.join(parts, "k").join(m, "o_orderkey")
-    name = F.when(F.col("o_orderkey") % 3 == 0, F.col("qualified_name")).when(F.col("o_orderkey") % 3 == 1, F.col("name")).otherwise(F.upper("name"))
+    rows = o.join(parts, "k").join(m, "o_orderkey").join(owner, "o_orderkey")
+    name = F.when(F.col("o_orderkey") % 3 == 0, F.col("qualified_name")).when(F.col("o_orderkey") % 3 == 1, F.col("owner")).otherwise(F.upper("name"))
     return rows.select(F.col("o_orderkey").alias("id"), "from_node_id", name.alias("reference_name"), F.lit("calls").alias("reference_kind"), "line", "file_path", "language")
 
 
-_REFS = ", refs AS (SELECT o_orderkey AS ref_id, CASE o_orderkey % 3 WHEN 0 THEN p.qualified_name WHEN 1 THEN p.name ELSE upper(p.name) END AS r_name, m.file_path AS r_file, m.language AS r_language FROM orders JOIN nodes p ON p.kind = 'function' AND p.start_line = o_orderkey % 2000 JOIN nodes m ON m.id = 'method:o' || o_orderkey)"
+_REFS = ", refs AS (SELECT o_orderkey AS ref_id, CASE o_orderkey % 3 WHEN 0 THEN p.qualified_name WHEN 1 THEN split_part(m.qualified_name, '::', 1) ELSE upper(p.name) END AS r_name, m.file_path AS r_file, m.language AS r_language FROM orders JOIN nodes p ON p.kind = 'function' AND p.start_line = o_orderkey % 2000 JOIN nodes m ON m.id = 'method:o' || o_orderkey)"
 
 
 @query(_REFS + ", c AS (SELECT ref_id, n.id, n.language = r_language AS same, count(*) OVER (PARTITION BY ref_id) AS c, row_number() OVER (PARTITION BY ref_id ORDER BY CASE WHEN n.language = r_language THEN 50 ELSE -80 END + 25 + CASE WHEN n.is_exported THEN 10 ELSE 0 END DESC, n.id) AS rn FROM refs JOIN nodes n ON n.name = r_name) SELECT ref_id, id AS target, CASE WHEN same THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM c WHERE c = 1")
