@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .api import CodeGraph
+from .api import SymbolGraph
 
 
 def envelope(tool: str, **payload) -> str:
@@ -33,9 +33,9 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("graphloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.tool == "index":
-        print(envelope("index", **CodeGraph.index(spark, a.root, a.folder).status()))
+        print(envelope("index", **SymbolGraph.index(spark, a.root, a.folder).status()))
         return 0
-    g = CodeGraph.open(spark, a.folder)
+    g = SymbolGraph.open(spark, a.folder)
     calls = {
         "callers": lambda: g.callers(a.symbol),
         "callees": lambda: g.callees(a.symbol),
@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
         "duplicates": g.duplicates,
         "files": g.list_files,
         "status": g.status,
-        "diff": lambda: g.diff(CodeGraph.open(spark, a.other)),
+        "diff": lambda: g.diff(SymbolGraph.open(spark, a.other)),
     }
     out = calls[a.tool]()
     rows = lambda df: [r.asDict(recursive=True) for r in df.toLocalIterator()]

@@ -13,17 +13,17 @@ from .operators import traverse as G
 from .plans import index as I
 
 
-class CodeGraph:
+class SymbolGraph:
     def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None, refs: DataFrame | None = None):
         self.spark, self.nodes, self.edges, self.files, self.refs = spark, nodes, edges, files, refs
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str) -> CodeGraph:
+    def open(cls, spark: SparkSession, folder: str) -> SymbolGraph:
         t = I.read_snapshot(spark, f"{folder}/graph")
         return cls(spark, t["nodes"], t["edges"], t["files"], t["refs"])
 
     @classmethod
-    def index(cls, spark: SparkSession, root: str, folder: str) -> CodeGraph:
+    def index(cls, spark: SparkSession, root: str, folder: str) -> SymbolGraph:
         I.index(spark, root, folder)
         return cls.open(spark, folder)
 
@@ -74,7 +74,7 @@ class CodeGraph:
         shape = S.shape_groups(self.nodes, kinds, min_lines).withColumn("level", F.lit("shape"))
         return exact.unionByName(shape).orderBy(F.col("members").desc(), F.col("max_span").desc(), "hash")
 
-    def diff(self, other: CodeGraph) -> dict[str, DataFrame]:
+    def diff(self, other: SymbolGraph) -> dict[str, DataFrame]:
         return {"nodes": S.diff_nodes(self.nodes, other.nodes), "edges": S.diff_edges(self.edges, other.edges), "files": S.diff_files(self.files, other.files)}
 
     def explain(self, source: str, target: str, kind: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import json
 
 from graphloom import __main__ as cli
-from graphloom.api import CodeGraph
+from graphloom.api import SymbolGraph
 from graphloom.operators import context as X
 from graphloom.plans import index as I
 from graphloom.sources.scan import scan, scan_stats
@@ -24,7 +24,7 @@ def test_index_ask_and_sync(spark, tmp_path, capsys):
     tree(root)
     stats = {r["reason"]: r["n"] for r in scan_stats(scan(spark, str(root))).collect()}
     assert stats == {"read": 3, "sensitive": 1, "language": 1}
-    g = CodeGraph.index(spark, str(root), str(tmp_path / "one"))
+    g = SymbolGraph.index(spark, str(root), str(tmp_path / "one"))
     assert {r["name"] for r in g.callers("helper").collect()} == {"run", "go"}
     assert [r["role"] for r in g.hierarchy("Child").where("role = 'ancestor'").collect()] == ["ancestor"]
     assert "helper" in {r["name"] for r in g.search("helper").collect()}
@@ -38,7 +38,7 @@ def test_index_ask_and_sync(spark, tmp_path, capsys):
     (root / "tests/test_main.py").unlink()
     changes = {r["path"].rsplit("/", 1)[-1]: r["status"] for r in I.sync(spark, str(root), str(tmp_path / "one"), str(tmp_path / "two")).collect()}
     assert changes == {"base.py": "modified", "new.py": "added", "test_main.py": "removed"}
-    h = CodeGraph.open(spark, str(tmp_path / "two"))
+    h = SymbolGraph.open(spark, str(tmp_path / "two"))
     assert {r["name"] for r in h.callers("helper").collect()} == {"go", "fresh"}
     cli.main(["callers", str(tmp_path / "two"), "helper"])
     out = json.loads(capsys.readouterr().out)
