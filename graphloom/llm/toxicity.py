@@ -105,18 +105,22 @@ def label_model(votes: np.ndarray, start: np.ndarray, weight: np.ndarray, known:
     evidence of the labels themselves, as log odds.
     """
     q = start.astype(float)
-    x = votes.astype(float)
+    x = votes.astype(np.float32)
+    root = np.sqrt(weight).astype(np.float32)[:, None]
     info = {}
     for _ in range(rounds):
         on, off = q * weight, (1 - q) * weight
         prior = np.clip(on.sum() / weight.sum(), 1e-4, 1 - 1e-4)
-        a = (on @ x + 0.01) / (on.sum() + 1.0)
-        b = (off @ x + 0.01) / (off.sum() + 1.0)
-        residual = (x - np.outer(q, a) - np.outer(1 - q, b)) * np.sqrt(weight)[:, None]
+        a = (on.astype(np.float32) @ x + 0.01) / (on.sum() + 1.0)
+        b = (off.astype(np.float32) @ x + 0.01) / (off.sum() + 1.0)
+        residual = np.stack([q, 1 - q], 1).astype(np.float32) @ np.stack([a, b]).astype(np.float32)
+        np.subtract(x, residual, out=residual)
+        residual *= root
         scale = np.sqrt((residual**2).sum(0)) + 1e-9
         rho = (residual.T @ residual) / np.outer(scale, scale)
         share = 1 / np.maximum(1, np.where(rho > 0.3, rho, 0).sum(0))
-        logit = known + np.log(prior / (1 - prior)) + x @ (share * np.log(a / b)) + (1 - x) @ (share * np.log((1 - a) / (1 - b)))
+        fired, quiet = share * np.log(a / b), share * np.log((1 - a) / (1 - b))
+        logit = known + np.log(prior / (1 - prior)) + x @ (fired - quiet).astype(np.float32) + quiet.sum()
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         info = {"prior": prior, "fires_on_toxic": a, "fires_on_clean": b, "correlations": rho, "share": share}
     return q, info
@@ -124,14 +128,14 @@ def label_model(votes: np.ndarray, start: np.ndarray, weight: np.ndarray, known:
 
 def linear_classifier(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on posterior labels, by Adam on the whole sample."""
-    x = x.astype(float)
+    x = x.astype(np.float32, copy=False)
     weight = weight / weight.sum()
     w, c = np.zeros(x.shape[1]), -2.0
     m = v = np.zeros(x.shape[1] + 1)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + c, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + c, -30, 30)))
         d = (p - q) * weight
-        g = np.append(x.T @ d + ridge * w, d.sum())
+        g = np.append(x.T @ d.astype(np.float32) + ridge * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, c = w - step[:-1], c - step[-1]
