@@ -31,3 +31,15 @@ def test_odd_rows(spark):
     assert len({(r["score"]) for r in rows if r["doc_id"] == 6}) == 1
     assert cross_entropy_difference(no_docs(spark), docs.select("doc_id")).count() == 0
     assert cross_entropy_difference(docs, docs.select("doc_id").where("false")).count() == 9
+
+
+def test_models_grow_with_the_corpus(spark):
+    """More words than 2**18: each pair of the corpus occurs once, so all losses are those of a single count."""
+    n, each = 300, 1000
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * each + j}" for j in range(each))) for i in range(n)], "doc_id long, text string")
+    rows = cross_entropy_difference(docs, docs.select("doc_id")).collect()
+    uni = 2 / (2 * n * each)
+    rest = -math.log((1 + 4 * uni) / (1 + 4))
+    first = -math.log((1 + 4 * uni) / (n + 4))
+    want = ((each - 1) * rest + first) / each
+    assert len(rows) == n and all(abs(r["background_loss"] - want) < 1e-9 and abs(r["score"]) < 1e-9 for r in rows)
