@@ -16,17 +16,28 @@ CELLS = 3 * PART
 PEELS = 10
 #: Digests expected in a block of a retried sketch.
 BLOCK = 8
-#: A longer line is cut at the ends of its sentences.
-LONG_LINE = 1000
+#: A sentence is cut after an atom whose hash is the least of as many on both sides.
+REACH = 8
+#: An atom is a word with its space; beyond so many characters without a space, each is an atom.
+LONG_WORD = 24
 #: Rows of one window over ids.
 RUN = 4096
 
 
+def _cut(p: str) -> str:
+    """SQL for the digests of a sentence's pieces. Whether it is cut at a place depends on the atoms beside it alone."""
+    least = f"forall(sequence(1, {REACH}), d -> hs[i] <= hs[i - d] AND hs[i] <= hs[i + d])"
+    ends = f"concat(array(-1), filter(sequence({REACH}, size(hs) - 1 - {REACH}), i -> {least}), array(size(hs) - 1))"
+    hashed = "transform(sequence(1, size(b) - 1), j -> xxhash64(array_join(slice(ws, b[j - 1] + 2, b[j] - b[j - 1]), '')))"
+    cut = f"transform(array(transform(ws, w -> xxhash64(w))), hs -> transform(array({ends}), b -> {hashed})[0])[0]"
+    return f"transform(array(split({p}, '(?<= )|(?<=[^ ]{{{LONG_WORD}}})')), ws -> IF(size(ws) > {2 * REACH}, {cut}, array(xxhash64({p}))))[0]"
+
+
 def digests(text: str) -> str:
-    """SQL for the distinct digests of the paragraphs of ``text``: its lines, long ones cut into sentences."""
-    return (
-        f"array_distinct(transform(filter(flatten(transform(split({text}, '\\n'), l -> IF(length(l) > {LONG_LINE}, split(l, '(?<=[.!?]) '), array(l)))), p -> p <> ''), p -> xxhash64(p)))"
-    )
+    """SQL for the distinct digests of ``text``: its lines are cut into sentences, and these by their content."""
+    # a sentence of few characters has too few atoms to be cut
+    pieces = f"filter(split({text}, '\n|(?<=[.!?]) '), p -> p <> '')"
+    return f"array_distinct(flatten(transform({pieces}, p -> IF(length(p) > {2 * REACH}, {_cut('p')}, array(xxhash64(p))))))"
 
 
 def _places(k: str, salt: int) -> str:
@@ -110,7 +121,8 @@ def edited_versions(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
-    A text's fingerprint is an invertible Bloom lookup sketch of its paragraphs' digests. Sketches of two versions
+    A text's fingerprint is an invertible Bloom lookup sketch of the digests of its sentences, long ones cut by
+    content, in the same way in a line of any length. Sketches of two versions
     are subtracted and peeled to the digests that differ, which gives their likeness. Where peeling fails, the pair
     is sketched again in more cells: its digests are dealt to blocks of CELLS cells, about BLOCK to a block, blocks
     that fail are split again with other hashes, until all have peeled.

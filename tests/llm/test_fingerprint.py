@@ -57,3 +57,15 @@ def test_order_in_many_runs(spark, monkeypatch):
     got = {r["k"]: r["pk"] for r in fp.previous(df).collect()}
     order = sorted(ids, reverse=True)
     assert got == {k: order[i - 1] for i, k in enumerate(order)}
+
+
+def test_unchanged_parts_are_alike_in_lines_of_any_length(spark):
+    sentences = " ".join(f"Sentence {i} says what {i * i} is." for i in range(45))
+    words = " ".join(f"w{i * i % 997}" for i in range(500))
+    signs = "".join(chr(0x4E00 + i * i % 997) for i in range(900))
+    other = "\n".join(f"another line {i} of the text beside it" for i in range(90))
+    assert len(sentences) > 1000 > len(sentences) * 2 // 3
+    for text in (sentences, words, signs):
+        docs = spark.createDataFrame([(2, text), (1, other)], "doc_id long, text string")
+        row = fp.fingerprints(docs).where("doc_id = 2").first()
+        assert row["near_edited"] > 0.3 and row["near_next"] == 0.0
