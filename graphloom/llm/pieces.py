@@ -1,7 +1,7 @@
 """Tokenising by distinct chunks: a bounded cache from chunk hashes to ids, shared by operators 6 and 9.
 
-A chunk starts at a space between two characters that are not white space. No token of the models here crosses such
-a place, so the ids of a text are those of its chunks, one after another.
+A chunk starts where no token can cross: at a space between two characters that are not white space, or where the
+caller's own rule says. The ids of a text are then those of its chunks, one after another.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class ChunkCache:
     """Ids of chunks; ``encode`` gives those of a list of byte strings. Direct-mapped, so its size is bounded."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], dtype=np.uint16):
-        self.encode, self.dtype = encode, dtype
+    def __init__(self, encode: Callable[[list[bytes]], list], dtype=np.uint16, starts: Callable = chunk_starts):
+        self.encode, self.dtype, self.starts = encode, dtype, starts
         self.key = np.zeros(1 << SLOT_BITS, np.uint64)
         self.at = np.zeros(1 << SLOT_BITS, np.int64)
         self.size = np.zeros(1 << SLOT_BITS, np.int32)
@@ -55,7 +55,7 @@ class ChunkCache:
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, the number of ids of each text)."""
         texts = len(offsets) - 1
-        starts = chunk_starts(data, offsets)
+        starts = self.starts(data, offsets)
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(texts, np.int64)
         if self.used > ROOM:

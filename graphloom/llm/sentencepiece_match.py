@@ -5,6 +5,10 @@ leaves. A segmentation is that result exactly if no pair of neighbouring pieces
 border before they were complete, and every prefix has one last piece for which that holds. So the pieces found in
 the text are edges between positions, and edges are relaxed by position: an edge is taken if its start was reached
 and its piece may follow the one that reached it.
+
+Texts are cut where no piece of the model holds the two characters beside each other, so nothing is merged across a
+cut. Pieces of several word marks all have one score, the worst of all: they are made when everything else is done,
+the leftmost first. A run of single marks in the relaxed ids is therefore replaced by the pieces of its length.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from .textops import text_slices
 
 SPACE = "▁"
 FAR = np.int64(1) << 40
+#: Edges that end at one place of their chunks: up to so many are relaxed one by one.
+FEW = 24
+#: Pairs of pieces in the memory of a worker before it starts anew.
+PAIRS = 1 << 20
 
 
 class Model:
@@ -66,7 +74,10 @@ class Model:
         self.n = n
         self.pair_key = np.array(sorted(pairs), np.int64)
         self.pair_rank = np.array([pairs[k] for k in self.pair_key.tolist()], np.int64)
-        order = sorted(i for p, i in self.id.items() if self.made[i])
+        order = sorted(i for p, i in self.id.items() if self.made[i] and not self._marks(p))
+        self.dtype = np.uint16 if n <= 1 << 16 else np.uint32
+        self._neighbours()
+        self._runs()
         self.search = sorted((self.pieces[i], i) for i in order)
         self.longest = max((len(p) for p, _ in self.search), default=1)
         # bytes of each id when decoded
@@ -74,8 +85,83 @@ class Model:
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
         self.blob_at = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64)
 
+    @staticmethod
+    def _marks(p: str) -> bool:
+        return len(p) > 1 and set(p) == {SPACE}
+
+    def _neighbours(self) -> None:
+        """``beside``: which characters stand beside each other in a piece, by their numbers in ``letter``."""
+        inner = [p for p in self.id if len(p) > 1 and not self._marks(p)]
+        if any(SPACE in p[1:] for p in inner):
+            raise ValueError("a piece has a word mark after its first character")
+        known = sorted({c for p in inner for c in p})
+        self.letter = np.zeros(0x110000, np.uint16)
+        self.letter[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+        number = {c: k for k, c in enumerate(known, 1)}
+        self.beside = np.zeros((len(known) + 1, len(known) + 1), bool)
+        for p in inner:
+            at = [number[c] for c in p]
+            self.beside[at[:-1], at[1:]] = True
+
+    def _runs(self) -> None:
+        """``runs[r]``: ids of a run of r marks, r below the longest such piece, which longer runs begin with."""
+        marks = sorted((p for p in self.id if self._marks(p)), key=len)
+        self.mark, self.run_id, self.runs = self.id.get(SPACE, -1), -1, []
+        if not marks:
+            return
+        others = max((int(self.rank[i]) for p, i in self.id.items() if not self._marks(p)), default=-1)
+        if len({int(self.rank[self.id[p]]) for p in marks}) != 1 or self.rank[self.id[marks[0]]] <= others:
+            raise ValueError("pieces of several word marks have scores of their own")
+        longest = len(marks[-1])
+        self.run_id, self.runs = self.id[marks[-1]], [self.merge(SPACE * r)[0] for r in range(longest)]
+        for r in range(longest, 3 * longest):
+            if self.merge(SPACE * r)[0] != [self.run_id] * (r // longest) + self.runs[r % longest]:
+                raise ValueError("runs of word marks are not merged from the left")
+
+    def join_marks(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts with each run of single marks replaced by its pieces, and the number of ids of each text."""
+        if not self.runs or not len(ids):
+            return ids, counts
+        alone = ids == self.mark
+        text = np.repeat(np.arange(len(counts)), counts)
+        follows = alone[1:] & alone[:-1] & (text[1:] == text[:-1])
+        if not follows.any():
+            return ids, counts
+        begins = np.flatnonzero(alone & ~np.concatenate([[False], follows]))
+        size = np.diff(np.append(np.flatnonzero(~np.concatenate([[False], follows])), len(ids)))
+        size = size[np.searchsorted(np.flatnonzero(~np.concatenate([[False], follows])), begins)]
+        longest = len(self.runs)
+        rest = [np.array(r, np.int64) for r in self.runs]
+        whole, part = size // longest, size % longest
+        made = whole + np.array([len(r) for r in rest])[part]
+        keep = ~alone
+        n_out = np.where(keep, 1, 0)
+        n_out[begins] = made
+        ends = np.cumsum(n_out)
+        out = np.empty(int(ends[-1]), ids.dtype)
+        out[ends[keep] - 1] = ids[keep]
+        at = ends[begins] - made
+        out[np.repeat(at, whole) + np.arange(int(whole.sum())) - np.repeat(np.cumsum(whole) - whole, whole)] = self.run_id
+        at = at + whole
+        for r in np.unique(part).tolist():
+            for j, i in enumerate(rest[r].tolist()):
+                out[at[part == r] + j] = i
+        total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return out, np.diff(total)
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of chunks in the bytes of texts: places that no piece spans, those of texts included."""
+        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        place = np.flatnonzero((data & 0xC0) != 0x80)
+        letter = self.letter[np.where(code == 0x20, ord(SPACE), code)]
+        cut = np.ones(len(code), bool)
+        cut[1:] = ~self.beside[letter[:-1], letter[1:]]
+        first = offsets[:-1][np.diff(offsets) > 0]
+        cut[np.searchsorted(place, first)] = True
+        return place[cut]
+
     def merge(self, text: str) -> tuple[list, tuple | None]:
-        """Merging by definition: (ids, the last pair merged); characters without a piece stay characters."""
+        """Merging by definition, for the tables of a model: (ids, the last pair merged); characters without a piece stay characters."""
         parts = list(text)
         last = None
         while True:
@@ -101,6 +187,7 @@ class Encoder:
         self.width = width
         self.follow_key = np.full(1 << 20, -1, np.int64)
         self.follow_ok = np.zeros(1 << 20, bool)
+        self.pairs: dict[int, bool] = {}
 
     def _pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         m = self.m
@@ -206,30 +293,11 @@ class Encoder:
             hi[open_[~less]] = mid[~less]
 
     def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks, the number of each). A leading space of a chunk is its own word mark."""
+        """(ids of all chunks, the number of each)."""
         texts = [c.decode().replace(" ", SPACE) for c in chunks]
-        whole, heads = [], []
-        for t in texts:
-            run = len(t) - len(t.lstrip(SPACE))
-            # pieces of several marks hold no letter: marks but the last are merged among themselves
-            odd = SPACE in t[run:] or run > 1
-            heads.append(odd)
-            whole.append("" if odd else t)
-        joined = "\n".join(whole) + "\n"
-        sizes = np.array([len(t) for t in whole], np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
         base = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-        last, ids_of, before = self._relax(joined, base, sizes)
-        out, lens = [], np.zeros(len(chunks), np.int32)
-        for i, odd in enumerate(heads):
-            if odd:
-                got = []
-                for p in self.m.merge(texts[i])[0]:
-                    got += [p] if not isinstance(p, str) else self.m.byte_id[list(p.encode())].tolist()
-            else:
-                got = ids_of(i)
-            out.extend(got)
-            lens[i] = len(got)
-        return np.array(out, np.uint16), lens
+        return self._relax("\0".join(texts) + "\0", base, sizes)
 
     def _relax(self, text: str, base: np.ndarray, sizes: np.ndarray):
         m = self.m
@@ -254,29 +322,66 @@ class Encoder:
         before = np.zeros(n + 1, np.int64)
         reached[base] = -1
         cuts = np.flatnonzero(np.diff(local, prepend=-1, append=-1))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        cuts = cuts.tolist()
+        few = next((k for k in range(len(cuts) - 1) if len(cuts) - 1 - k > 0 and cuts[k + 1] - cuts[k] <= FEW), len(cuts) - 1)
+        for a, b in zip(cuts[:few], cuts[1 : few + 1], strict=True):
             s, e, p = start[a:b], end[a:b], piece[a:b]
             prev = reached[s]
             ok = prev == -1
             more = np.flatnonzero(prev >= 0)
             ok[more] = self.may_follow(prev[more], p[more])
             reached[e[ok]], before[e[ok]] = p[ok], s[ok]
-        final, back, bytes_of = reached.tolist(), before.tolist(), self.m.byte_id.tolist()
-        first, sizes_ = base.tolist(), sizes.tolist()
-
-        def ids_of(i: int) -> list[int]:
-            at, got = first[i] + sizes_[i], []
-            while at > first[i]:
-                p = final[at]
-                if p < m.n:
-                    got.append(p)
-                else:
-                    got.extend(reversed([bytes_of[x] for x in chr(p - m.n).encode()]))
-                at = back[at]
-            got.reverse()
-            return got
-
-        return reached, ids_of, before
+        if few < len(cuts) - 1:
+            a = cuts[few]
+            self._one_by_one(start[a:], end[a:], piece[a:], reached, before)
+        return self._traced(base, sizes, reached, before)
+
+    def _one_by_one(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, reached: np.ndarray, before: np.ndarray) -> None:
+        """Relax what is left, where few chunks are so long: pairs met before are looked up. Sorted by place in the chunk."""
+        m, known, found = self.m, self.pairs, {}
+        if len(known) > PAIRS:
+            known.clear()
+        if len(start):
+            lo = int(start.min())
+            held, back = reached[lo:].tolist(), before[lo:].tolist()
+            for s, e, p in zip((start - lo).tolist(), (end - lo).tolist(), piece.tolist(), strict=True):
+                prev = held[s]
+                if prev == -2:
+                    continue
+                if prev >= 0:
+                    # characters without a piece are alike: nothing merges with them
+                    pair = min(prev, m.n) * (m.n + 1) + min(p, m.n)
+                    ok = known.get(pair)
+                    if ok is None:
+                        ok = known[pair] = bool(self._follow(np.array([prev]), np.array([p]))[0])
+                    if not ok:
+                        continue
+                held[e], back[e] = p, s + lo
+            reached[lo:], before[lo:] = held, back
+
+    def _traced(self, base: np.ndarray, sizes: np.ndarray, reached: np.ndarray, before: np.ndarray):
+        """(ids of all chunks, the number of each): from every end back to the start, all chunks at once."""
+        m = self.m
+        at, which, steps = base + sizes, np.arange(len(base)), []
+        while len(at):
+            live = at > base[which]
+            at, which = at[live], which[live]
+            if len(at):
+                steps.append((which, at))
+                at = before[at]
+        if not steps:
+            return np.zeros(0, m.dtype), np.zeros(len(base), np.int32)
+        ends = np.sort(np.concatenate([a for _, a in steps]))
+        got = reached[ends]
+        lone = got >= m.n
+        raw = "".join(map(chr, (got[lone] - m.n).tolist()))
+        wide = np.ones(len(got), np.int64)
+        wide[lone] = [len(c.encode()) for c in raw]
+        flat = np.repeat(got, wide)
+        flat[np.repeat(lone, wide)] = m.byte_id[np.frombuffer(raw.encode(), np.uint8)]
+        chunk = np.searchsorted(base, ends, "left") - 1
+        lens = np.bincount(chunk, weights=wide, minlength=len(base)).astype(np.int32)
+        return flat.astype(m.dtype), lens
 
 
 _encoders: dict = {}
@@ -284,7 +389,7 @@ _encoders: dict = {}
 
 def _cache(path: str, model: Model) -> ChunkCache:
     if path not in _encoders:
-        _encoders[path] = ChunkCache(Encoder(model).encode)
+        _encoders[path] = ChunkCache(Encoder(model).encode, model.dtype, model.cuts)
     return _encoders[path]
 
 
@@ -318,7 +423,7 @@ def _run(path: str, shared):
         for b in batches:
             for first, last, data, offsets in text_slices(b.column(1)):
                 marked = _marked(data, offsets)
-                ids, n = cache.ids(*marked)
+                ids, n = model.join_marks(*cache.ids(*marked))
                 back, at = decode(model, ids.astype(np.int64), n)
                 same = np.array([back[at[i] : at[i + 1]].tobytes() == data[offsets[i] : offsets[i + 1]].tobytes() for i in range(last - first)])
                 texts = pa.LargeStringArray.from_buffers(last - first, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(back.tobytes())).cast(pa.string())
