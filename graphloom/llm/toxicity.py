@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from .common import materialize, prepare
 from .textops import BASE, BYTE, mix, powers, text_bytes, text_slices
 
-#: Labelled rows that the model is fitted on, at most: those with the smallest hashes of their ids.
+#: Labelled rows that voters are mined from and the classifier is fitted on, at most: those with the smallest hashes.
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
-#: Voters kept after mining.
-MAX_VOTERS = 1024
+#: Voters mined for the toxic and for the clean class, at most: those with the best-supported odds.
+MAX_VOTERS, MAX_CLEAN_VOTERS = 1024, 128
+#: Least log odds of a voter for its class, one standard error subtracted.
+LEAST_ODDS = 1.0
 #: Lengths in bytes of the word beginnings that are pattern voters, beside whole words.
-PREFIXES = (4, 5, 6)
-#: Log odds of a label being right.
-LABEL_ODDS = 4.0
-#: Labelled documents of one class that a lexicon entry must occur in.
-LEAST_SUPPORT = 3
+PREFIXES = (4, 5, 6, 7, 8, 9)
+#: Residual correlation from which on two voters repeat each other.
+REPEATS = 0.6
+ROUNDS = 6
+#: Weight of a clean text taken for toxic against a toxic one missed, where the border between the classes is set.
+CLEAN_WEIGHT = 1.5
 #: Surface patterns: shares of all bytes above which a pattern votes.
 SURFACES = ((frozenset(b"!"), 0.004), (frozenset(b"?"), 0.004), (frozenset(b"*#$%&@"), 0.05), (frozenset(range(65, 91)), 0.2), (frozenset(range(48, 58)), 0.1))
 
@@ -69,61 +72,174 @@ def surfaces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _features(batches):
-    """Distinct unit hashes of each text and its surface votes as bits."""
+    """Distinct unit hashes of each text, the beginnings that it has twice or more, and its surface votes as bits."""
+    longs = pa.list_(pa.int64())
     for b in batches:
         for i in range(b.num_rows):
             data, offsets = text_bytes(b.column(2).slice(i, 1))
             found = [h for h, _ in units(data, offsets)]
             own = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            again, n = np.unique(np.concatenate(found[1:]), return_counts=True) if found else (own, own)
             votes = surfaces(data, offsets)[0] @ (1 << np.arange(len(SURFACES)))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([own.view(np.int64)], pa.list_(pa.int64())), pa.array([votes], pa.int64())], ["doc_id", "y", "f", "s"])
+            columns = [b.column(0).slice(i, 1), b.column(1).slice(i, 1), *(pa.array([x.view(np.int64)], longs) for x in (own, again[n > 1])), pa.array([votes], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "y", "f", "g", "s"])
 
 
-def _hits(keys: np.ndarray):
+def voter_tables(once: np.ndarray, twice: np.ndarray) -> dict:
+    """Tables to find voters by unit hashes: those that vote if a unit occurs, those that vote if it occurs again."""
+    seen = np.zeros(1 << 22, bool)
+    for keys in (once, twice):
+        seen[keys.view(np.uint64) >> np.uint64(42)] = True
+    return {"once": once, "twice": twice, "seen": seen, "n": len(once) + len(twice) + len(SURFACES)}
+
+
+def votes(tables: dict, column: pa.Array):
+    """(first text, last text, text of each vote, voter): the votes of a column of texts, by runs of texts."""
+    once, twice, seen = tables["once"], tables["twice"], tables["seen"]
+    for first, last, data, offsets in text_slices(column):
+        pairs = []
+        for kind, (h, text) in enumerate(units(data, offsets) if len(once) + len(twice) else ()):
+            maybe = seen[h >> np.uint64(42)]
+            h, text = h[maybe].view(np.int64), text[maybe]
+            for keys, base, least in ((once, 0, 1), (twice, len(once), 2)):
+                if len(keys) and (kind or least == 1):
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    ok = keys[at] == h
+                    pair, n = np.unique(text[ok] * tables["n"] + base + at[ok], return_counts=True)
+                    pairs.append(pair[n >= least])
+        text, k = np.nonzero(surfaces(data, offsets))
+        pairs.append(text * tables["n"] + len(once) + len(twice) + k)
+        pair = np.unique(np.concatenate(pairs))
+        yield first, last, pair // tables["n"], pair % tables["n"]
+
+
+def _patterns(shared):
+    """The distinct sets of votes of each batch, and how many texts cast them."""
+
     def run(batches):
+        tables = voter_tables(*shared.value)
         for b in batches:
-            lists = []
-            for f in b.column(1).to_pylist():
-                f = np.array(f, np.int64)
-                at = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
-                lists.append(at[keys[at] == f])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lists, pa.list_(pa.int64()))], ["y", "s", "hits"])
+            for first, last, text, voter in votes(tables, b.column(0)):
+                ends = np.searchsorted(text, np.arange(last - first + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(voter.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([lists, pa.array(np.ones(last - first, np.int64))], ["hits", "c"])
+
+    return run
+
+
+def _dense(batch, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(votes as rows of a matrix, weights) of a batch of patterns."""
+    hits = batch.column(0)
+    x = np.zeros((batch.num_rows, n), np.float32)
+    x[np.repeat(np.arange(batch.num_rows), np.diff(hits.offsets.to_numpy())), hits.flatten().to_numpy()] = 1
+    return x, batch.column(1).to_numpy().astype(float)
+
+
+def _together(n: int):
+    def run(batches):
+        total = np.zeros((n, n))
+        for b in batches:
+            x, c = _dense(b, n)
+            total += x.T @ (x * c[:, None].astype(np.float32))
+        used = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([total[i].tobytes() for i in used], pa.binary())], ["i", "row"])
+
+    return run
+
+
+def _sum_rows(table: pa.Table) -> pa.Table:
+    row = sum(np.frombuffer(r, float) for r in table["row"].to_pylist())
+    return pa.table([table["i"][:1], pa.array([row.tobytes()], pa.binary())], ["i", "row"])
+
+
+#: Bins of evidence, 1/32 wide.
+BINS, LOW = 4096, -64.0
+
+
+def _evidence(weights: np.ndarray):
+    """How many texts have evidence of each size."""
+
+    def run(batches):
+        total = np.zeros(BINS)
+        for b in batches:
+            x, c = _dense(b, len(weights))
+            total += np.bincount(np.clip(((x @ weights - LOW) * 32).astype(int), 0, BINS - 1), weights=c, minlength=BINS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bin", "c"])
 
     return run
 
 
+def _expect(weights: np.ndarray, bias: float):
+    """Sums over texts: of posteriors and their products, then for each voter of posteriors where it votes."""
+
+    def run(batches):
+        total = np.zeros(4 + len(weights))
+        for b in batches:
+            x, c = _dense(b, len(weights))
+            q = _sigmoid(x @ weights + bias)
+            total[:4] += (c * q).sum(), (c * q * q).sum(), (c * q * (1 - q)).sum(), (c * (1 - q) ** 2).sum()
+            total[4:] += (c * q) @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "v"])
+
+    return run
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def held_out(column: str = "doc_id", parts: int = 5, part: int = 0):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, weight: np.ndarray, known: np.ndarray, rounds: int = 5) -> tuple[np.ndarray, dict]:
-    """Posterior labels by expectation maximisation over votes (rows x voters, 0 or 1).
+def balance(counts: np.ndarray, prior: float) -> float:
+    """The bias that makes the mean posterior ``prior``, by the counts of texts in each bin of evidence."""
+    at, lo, hi = LOW + (np.arange(BINS) + 0.5) / 32, -80.0, 80.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if (_sigmoid(at + mid) * counts).sum() > prior * counts.sum() else (mid, hi)
+    return (lo + hi) / 2
+
+
+def label_model(patterns: DataFrame, n: int, toxic: np.ndarray, clean: np.ndarray, prior: float, rounds: int = ROUNDS) -> dict:
+    """Voters' rates and correlations by expectation maximisation over ``patterns`` (hits, c): the votes of all texts.
 
-    Each voter fires with one rate on toxic and another on clean texts. Residual correlations between voters, given
-    the label, tell how far voters repeat each other; a voter's evidence is divided by the sum of its own.
-    ``start`` gives the first responsibilities, ``weight`` undoes the sampling of the classes, ``known`` is the
-    evidence of the labels themselves, as log odds.
+    No label enters: a text's posterior comes from its votes alone. Each of the ``n`` voters votes at one rate on
+    toxic and at another on clean texts, and speaks by the logarithm of their quotient; one that is silent says
+    nothing. ``toxic`` and ``clean`` are the rates to start from. ``prior``, the share of toxic texts, stays, so the
+    classes cannot change places. Residual correlations between voters, given the label, tell which repeat each
+    other: the evidence of such is shared among them. What reaches the driver is bounded by the number of voters.
     """
-    q = start.astype(float)
-    x = votes.astype(np.float32)
-    root = np.sqrt(weight).astype(np.float32)[:, None]
-    info = {}
+    together = np.zeros((n, n))
+    for r in patterns.mapInArrow(_together(n), "i int, row binary").groupBy("i").applyInArrow(_sum_rows, "i int, row binary").collect():
+        together[r["i"]] = np.frombuffer(r["row"], float)
+    total = float(patterns.agg(F.sum("c")).first()[0] or 0)
+    a, b, share = toxic, clean, np.ones(n)
+    model = {}
     for _ in range(rounds):
-        on, off = q * weight, (1 - q) * weight
-        prior = np.clip(on.sum() / weight.sum(), 1e-4, 1 - 1e-4)
-        a = (on.astype(np.float32) @ x + 0.01) / (on.sum() + 1.0)
-        b = (off.astype(np.float32) @ x + 0.01) / (off.sum() + 1.0)
-        residual = np.stack([q, 1 - q], 1).astype(np.float32) @ np.stack([a, b]).astype(np.float32)
-        np.subtract(x, residual, out=residual)
-        residual *= root
-        scale = np.sqrt((residual**2).sum(0)) + 1e-9
-        rho = (residual.T @ residual) / np.outer(scale, scale)
-        share = 1 / np.maximum(1, np.where(rho > 0.3, rho, 0).sum(0))
-        fired, quiet = share * np.log(a / b), share * np.log((1 - a) / (1 - b))
-        logit = known + np.log(prior / (1 - prior)) + x @ (fired - quiet).astype(np.float32) + quiet.sum()
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        info = {"prior": prior, "fires_on_toxic": a, "fires_on_clean": b, "correlations": rho, "share": share}
-    return q, info
+        weights = (share * np.log(a / b)).astype(np.float32)
+        counts = np.zeros(BINS)
+        for r in patterns.mapInArrow(_evidence(weights), "bin int, c double").groupBy("bin").agg(F.sum("c").alias("c")).collect():
+            counts[r["bin"]] = r["c"]
+        bias = balance(counts, prior)
+        sums = np.zeros(4 + n)
+        for r in patterns.mapInArrow(_expect(weights, bias), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            sums[r["k"]] = r["v"]
+        model = {"weights": weights, "bias": bias, "fires_on_toxic": a, "fires_on_clean": b}
+        on, qq, qp, pp = sums[:4]
+        fired = np.diag(together)
+        one, none = sums[4:], fired - sums[4:]
+        # cross-products of what is left of the votes once the rates of their texts' labels are taken off
+        mean = np.outer(one, a) + np.outer(none, b)
+        left = together - mean - mean.T + qq * np.outer(a, a) + qp * (np.outer(a, b) + np.outer(b, a)) + pp * np.outer(b, b)
+        scale = np.sqrt(np.maximum(np.diag(left), 0)) + 1e-9
+        rho = left / np.outer(scale, scale)
+        np.fill_diagonal(rho, 1.0)
+        share = 1 / np.maximum(1, np.where(rho > REPEATS, rho, 0).sum(1))
+        a, b = np.clip((one + 0.1) / (on + 1), 1e-6, 1), np.clip((none + 0.01) / (total - on + 1), 1e-6, 1)
+        model |= {"correlations": rho, "share": share}
+    return model
 
 
 def linear_classifier(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -142,8 +258,22 @@ def linear_classifier(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds:
     return w, float(c)
 
 
+def _tops(mined: DataFrame, least: float, most: int, hits: str) -> DataFrame:
+    return mined.where(F.col("z") > least).orderBy((F.col("z") * F.sqrt(hits)).desc(), "f", "twice").limit(most)
+
+
+def _border(score: np.ndarray, y: np.ndarray) -> float:
+    """The logit that parts the labelled rows best."""
+    at = np.quantile(score, np.linspace(0, 1, 513))
+    at = np.unique(np.concatenate([(at[1:] + at[:-1]) / 2, np.linspace(-4, 4, 161)]))
+    gain = [(score[y == 1] >= t).mean() - CLEAN_WEIGHT * (score[y == 0] >= t).mean() for t in at]
+    best = np.flatnonzero(np.array(gain) >= max(gain) - 1e-12)
+    return float(at[best[len(best) // 2]])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """Fit on a bounded sample of the labelled rows of ``labels`` (doc_id, toxic) that are not held out."""
+    """Mine voters from a bounded sample of the labelled rows of ``labels`` (doc_id, toxic) that are not held out, fit
+    the label model to the votes of all rows of ``docs``, and the classifier to its posteriors on the sample."""
     spark = docs.sparkSession
     prepare(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
@@ -151,65 +281,72 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = known.where("y = 1").orderBy(*order).limit(MAX_TOXIC).union(known.where("y = 0").orderBy(*order).limit(MAX_CLEAN))
     chosen = materialize(chosen, "sample")  # MAX_TOXIC + MAX_CLEAN rows at most
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    feats = materialize(sample.mapInArrow(_features, "doc_id long, y int, f array<long>, s long"), "features")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("h"), "y", "text")
+    feats = sample.mapInArrow(_features, "h long, y int, f array<long>, g array<long>, s long")
+    feats = materialize(feats.dropDuplicates(["y", "h"]), "features")  # copies count once
     totals = feats.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
-    model = {"keys": np.zeros(0, np.int64), "w": np.zeros(len(SURFACES)), "c": -4.0}
+    model = {"once": np.zeros(0, np.int64), "twice": np.zeros(0, np.int64), "w": np.zeros(len(SURFACES)), "c": -4.0}
     if not totals[0] or not totals[1]:
         return model
     pos, neg = float(totals[0]), float(totals[1])
-    odds = F.log((F.col("t") + 0.1) / pos) - F.log((F.col("k") + 0.1) / neg)
-    mined = feats.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("k")).where(f"t >= {LEAST_SUPPORT}").withColumn("o", odds)
-    mined = mined.where(F.col("o") > 1.5).orderBy((F.col("o") * F.sqrt("t")).desc(), "f").limit(MAX_VOTERS)
-    keys = np.sort(np.array([r["f"] for r in mined.select("f").collect()], np.int64))
-    if not len(keys):
+    each = F.explode(F.expr("concat(transform(f, x -> named_struct('f', x, 'twice', false)), transform(g, x -> named_struct('f', x, 'twice', true)))")).alias("e")
+    mined = feats.select("y", each).groupBy("e.f", "e.twice").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("k")).where("t + k > 1")
+    odds, error = F.log((F.col("t") + 0.5) / pos) - F.log((F.col("k") + 0.5) / neg), F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("k") + 0.5))
+    mined = materialize(mined.select("f", "twice", "t", "k", odds.alias("o"), error.alias("e")).where(F.abs("o") - F.col("e") > LEAST_ODDS), "mined")
+    found = _tops(mined.withColumn("z", F.col("o") - F.col("e")), LEAST_ODDS, MAX_VOTERS, "t").union(_tops(mined.withColumn("z", -F.col("o") - F.col("e")), LEAST_ODDS, MAX_CLEAN_VOTERS, "k"))
+    found = sorted((r["twice"], r["f"], r["t"], r["k"]) for r in found.collect())
+    if not found:
         return model
-    rows = feats.select("y", "f", "s").mapInArrow(_hits(keys), "y int, s long, hits array<long>").toArrow()
-    x = np.zeros((len(rows), len(keys) + len(SURFACES)), np.float32)
+    once, twice = (np.array([f for w, f, _, _ in found if w == x], np.int64) for x in (False, True))
+    shared = spark.sparkContext.broadcast((once, twice))
+    patterns = docs.select("text").mapInArrow(_patterns(shared), "hits array<int>, c long").groupBy("hits").agg(F.sum("c").alias("c"))
+    patterns = materialize(patterns, "patterns")
+    x, y = _sample_votes(feats, once, twice)
+    s = x[:, len(found) :]
+    t = np.array([t for _, _, t, _ in found] + s[y == 1].sum(0).tolist(), float)
+    k = np.array([k for _, _, _, k in found] + s[y == 0].sum(0).tolist(), float)
+    fitted = label_model(patterns, x.shape[1], (t + 0.1) / (pos + 0.2), (k + 0.1 * pos / neg) / (neg + 0.2), sizes[1] / (sizes[0] + sizes[1]))
+    q = _sigmoid(x @ fitted["weights"] + fitted["bias"])
+    # both classes weigh the same
+    weight = np.where(q >= 0.5, 1 / max((q >= 0.5).sum(), 1), 1 / max((q < 0.5).sum(), 1))
+    w, c = linear_classifier(x, q, weight)
+    return {"once": once, "twice": twice, "w": w, "c": c - _border(x @ w + c, y)}
+
+
+def _sample_votes(feats: DataFrame, once: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(votes, labels) of the sample: as many rows as it has, and a column for each voter."""
+
+    def run(batches):
+        for b in batches:
+            lists = []
+            for f, g, s in zip(*(b.column(i).to_pylist() for i in range(1, 4)), strict=True):
+                hits = [base + np.searchsorted(keys, np.intersect1d(own, keys)) for own, keys, base in ((np.array(f, np.int64), once, 0), (np.array(g, np.int64), twice, len(once)))]
+                lists.append([*np.concatenate(hits).tolist(), *(len(once) + len(twice) + j for j in range(len(SURFACES)) if s >> j & 1)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int64()))], ["y", "hits"])
+
+    rows = feats.select("y", "f", "g", "s").mapInArrow(run, "y int, hits array<long>").toArrow()
+    x = np.zeros((len(rows), len(once) + len(twice) + len(SURFACES)), np.float32)
     hits = rows["hits"].combine_chunks()
     x[np.repeat(np.arange(len(rows)), np.diff(hits.offsets.to_numpy())), hits.flatten().to_numpy()] = 1
-    s = rows["s"].to_numpy()
-    for k in range(len(SURFACES)):
-        x[:, len(keys) + k] = (s >> k) & 1
-    y = rows["y"].to_numpy()
-    weight = np.where(y == 1, sizes[1] / pos, sizes[0] / neg)
-    q, _ = label_model(x, 0.02 + 0.96 * y, weight, np.where(y == 1, LABEL_ODDS, -LABEL_ODDS))
-    # both classes weigh the same, so 0.5 is the border between them
-    weight = np.where(y == 1, 1 / pos, 1 / neg)
-    w, c = linear_classifier(x, q, weight)
-    return {"keys": keys, "w": w, "c": c}
+    return x, rows["y"].to_numpy()
 
 
-def _logits(model: dict, column: pa.Array) -> np.ndarray:
-    keys, w, seen = model["keys"], model["w"], model["seen"]
+def _scores(model: dict, column: pa.Array) -> np.ndarray:
     logit = np.full(len(column), model["c"])
-    for first, last, data, offsets in text_slices(column):
-        logit[first:last] += surfaces(data, offsets) @ w[len(keys) :]
-        texts, found = [], []
-        for h, text in units(data, offsets) if len(keys) else ():
-            maybe = seen[h >> np.uint64(42)]
-            h, text = h[maybe].view(np.int64), text[maybe]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            ok = keys[at] == h
-            texts.append(text[ok])
-            found.append(at[ok])
-        if texts:
-            pairs = np.unique(np.concatenate(texts) * len(keys) + np.concatenate(found))
-            np.add.at(logit, first + pairs // len(keys), w[pairs % len(keys)])
-    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    for first, last, text, voter in votes(model, column):
+        logit[first:last] += np.bincount(text, weights=model["w"][voter], minlength=last - first)
+    return _sigmoid(logit)
 
 
 def _loaded(shared) -> dict:
-    seen = np.zeros(1 << 22, bool)
-    seen[shared.value["keys"].view(np.uint64) >> np.uint64(42)] = True
-    return shared.value | {"seen": seen}
+    return shared.value | voter_tables(shared.value["once"], shared.value["twice"])
 
 
 def _score(shared):
     def run(batches):
         model = _loaded(shared)
         for b in batches:
-            score = _logits(model, b.column(2))
+            score = _scores(model, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return run
@@ -219,7 +356,7 @@ def _keep(shared, at: int):
     def run(batches):
         model = _loaded(shared)
         for b in batches:
-            yield b.filter(pa.array(_logits(model, b.column(at)) < 0.5))
+            yield b.filter(pa.array(_scores(model, b.column(at)) < 0.5))
 
     return run
 
@@ -233,13 +370,16 @@ def keep_harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text).
 
-    Lexicon voters (words) and pattern voters (word beginnings, surface shares) are mined from labelled rows that
-    are not held out; a generative label model weighs their accuracies and correlations, and a linear classifier is
-    trained on its posterior labels. Scoring reads the whole text and nothing else, as a map without a shuffle.
+    Voters are words (a lexicon), beginnings of words that occur, beginnings that occur twice or more, and surface
+    shares; each votes or abstains. Labelled rows that are not held out choose the voters and the class each starts
+    to speak for. A generative label model over the votes of all rows, without labels, estimates the voters' rates
+    and correlations; a linear classifier is trained on its posterior labels, and the labels set the border between
+    the classes. Scoring reads the whole text and nothing else, as a map without a shuffle.
 
     Null and empty texts get the score of a text in which no voter fires. Without labels, or with one class only,
     every text gets a low constant score. Of a doc_id with several labels the largest counts; null labels and labels
-    other than 0 and 1 are ignored. Repeated rows are scored alike; other columns are ignored.
+    other than 0 and 1 are ignored. Repeated rows are scored alike, a null doc_id is a row like others (its
+    checksum is that of the empty string) and other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")

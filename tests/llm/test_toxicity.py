@@ -32,13 +32,56 @@ def test_held_out_accuracy(spark):
     assert kept.columns == d.columns and kept.count() == 300 - sum(r["predicted"] for r in rows)
 
 
-def test_label_model_learns_accuracies():
-    rng = np.random.default_rng(0)
-    y = rng.random(2000) < 0.3
-    votes = np.stack([np.where(rng.random(2000) < 0.9, y, ~y), np.where(rng.random(2000) < 0.8, y, ~y), np.where(rng.random(2000) < 0.7, y, ~y)], 1)
-    votes = np.concatenate([votes, votes[:, :1]], 1)  # a voter that repeats the first
-    q, info = tx.label_model(votes, np.full(2000, 0.3) + 0.3 * votes.mean(1), np.ones(2000), np.zeros(2000), rounds=20)
-    assert ((q >= 0.5) == y).mean() > 0.85 and info["correlations"][0, 3] > 0.9 and info["share"][0] < 0.6 < info["share"][2]
+def brute_em(x, a, b, prior, rounds, repeats):
+    """The label model on a plain matrix: posteriors, rates and residual correlations written out row by row."""
+    share = np.ones(x.shape[1])
+    for _ in range(rounds):
+        weights = share * np.log(a / b)
+        lo, hi = -80.0, 80.0
+        for _ in range(80):
+            bias = (lo + hi) / 2
+            q = 1 / (1 + np.exp(-(x @ weights + bias)))
+            lo, hi = (lo, bias) if q.mean() > prior else (bias, hi)
+        left = x - (q[:, None] * a + (1 - q)[:, None] * b)
+        scale = np.sqrt((left**2).sum(0)) + 1e-9
+        rho = left.T @ left / np.outer(scale, scale)
+        np.fill_diagonal(rho, 1)
+        share = 1 / np.maximum(1, np.where(rho > repeats, rho, 0).sum(1))
+        a, b = (q @ x + 0.1) / (q.sum() + 1), ((1 - q) @ x + 0.01) / ((1 - q).sum() + 1)
+    return q, rho, share
+
+
+def votes_of(rng, n=3000):
+    y = rng.random(n) < 0.2
+    x = np.stack([rng.random(n) < np.where(y, on, off) for on, off in ((0.7, 0.02), (0.6, 0.05), (0.5, 0.05), (0.3, 0.3), (0.1, 0.6))], 1)
+    return y, np.concatenate([x, x[:, :1]], 1).astype(float)  # the last voter repeats the first
+
+
+def test_label_model_equals_plain_em_and_needs_no_labels(spark):
+    y, x = votes_of(np.random.default_rng(0))
+    rows = [([int(k) for k in np.flatnonzero(r)], 1) for r in x]
+    patterns = spark.createDataFrame(rows, "hits array<int>, c long")
+    a, b = np.array([0.5, 0.5, 0.5, 0.4, 0.3, 0.5]), np.array([0.1, 0.1, 0.1, 0.4, 0.5, 0.1])
+    model = tx.label_model(patterns.repartition(3), 6, a, b, 0.2)
+    merged = tx.label_model(patterns.groupBy("hits").count().toDF("hits", "c"), 6, a, b, 0.2)
+    q, rho, share = brute_em(x, a, b, 0.2, tx.ROUNDS, tx.REPEATS)
+    got = 1 / (1 + np.exp(-(x @ model["weights"] + model["bias"])))
+    assert np.abs(got - q).max() < 0.02 and np.abs(model["correlations"] - rho).max() < 0.02 and np.abs(model["share"] - share).max() < 0.01
+    assert np.abs(merged["weights"] - model["weights"]).max() < 1e-3
+    assert ((got >= 0.5) == y).mean() > 0.93 and model["correlations"][0, 5] > 0.95 and model["share"][0] < 0.55 and model["share"][3] > 0.9
+    assert model["weights"][4] < 0 < model["weights"][2]  # a voter for the clean class
+
+
+def test_beginnings_that_occur_twice(spark):
+    tables = tx.voter_tables(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    data = np.frombuffer(b"grubuxab grubuxcd", np.uint8)
+    hashes = {len(k): h for k, (h, _) in zip(("w", *("x" * n for n in tx.PREFIXES)), tx.units(data, np.array([0, len(data)])), strict=True)}
+    key = np.array([hashes[6][0]], np.uint64).view(np.int64)
+    tables = tx.voter_tables(np.zeros(0, np.int64), key)
+    import pyarrow as pa
+
+    found = [(text.tolist(), voter.tolist()) for _, _, text, voter in tx.votes(tables, pa.array(["grubuxab grubuxcd", "grubuxab", None, "x"]))]
+    assert found == [([0], [0])]
 
 
 def test_odd_rows(spark):
