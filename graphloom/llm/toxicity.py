@@ -21,6 +21,9 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 #: Residual correlation from which on two voters repeat each other.
 REPEATS = 0.6
 ROUNDS = 6
+#: Weight of a voter's first rates, beside those that the votes of all texts say: a voter that is mostly alone would
+#: otherwise be judged by nothing but itself.
+ANCHOR = 0.5
 #: Weight of a clean text taken for toxic against a toxic one missed, where the border between the classes is set.
 CLEAN_WEIGHT = 1.5
 #: Surface patterns: shares of all bytes above which a pattern votes.
@@ -202,12 +205,12 @@ def balance(counts: np.ndarray, prior: float) -> float:
     return (lo + hi) / 2
 
 
-def label_model(patterns: DataFrame, n: int, toxic: np.ndarray, clean: np.ndarray, prior: float, rounds: int = ROUNDS) -> dict:
+def label_model(patterns: DataFrame, n: int, toxic: np.ndarray, clean: np.ndarray, prior: float, rounds: int = ROUNDS, anchor: float = ANCHOR) -> dict:
     """Voters' rates and correlations by expectation maximisation over ``patterns`` (hits, c): the votes of all texts.
 
     No label enters: a text's posterior comes from its votes alone. Each of the ``n`` voters votes at one rate on
     toxic and at another on clean texts, and speaks by the logarithm of their quotient; one that is silent says
-    nothing. ``toxic`` and ``clean`` are the rates to start from. ``prior``, the share of toxic texts, stays, so the
+    nothing. ``toxic`` and ``clean`` are the rates to start from, and weigh ``anchor`` in every later estimate. ``prior``, the share of toxic texts, stays, so the
     classes cannot change places. Residual correlations between voters, given the label, tell which repeat each
     other: the evidence of such is shared among them. What reaches the driver is bounded by the number of voters.
     """
@@ -237,7 +240,8 @@ def label_model(patterns: DataFrame, n: int, toxic: np.ndarray, clean: np.ndarra
         rho = left / np.outer(scale, scale)
         np.fill_diagonal(rho, 1.0)
         share = 1 / np.maximum(1, np.where(rho > REPEATS, rho, 0).sum(1))
-        a, b = np.clip((one + 0.1) / (on + 1), 1e-6, 1), np.clip((none + 0.01) / (total - on + 1), 1e-6, 1)
+        a, b = ((found + anchor * first) / (1 + anchor) for found, first in (((one + 0.1) / (on + 1), toxic), ((none + 0.01) / (total - on + 1), clean)))
+        a, b = np.clip(a, 1e-6, 1), np.clip(b, 1e-6, 1)
         model |= {"correlations": rho, "share": share}
     return model
 

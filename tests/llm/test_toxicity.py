@@ -32,9 +32,9 @@ def test_held_out_accuracy(spark):
     assert kept.columns == d.columns and kept.count() == 300 - sum(r["predicted"] for r in rows)
 
 
-def brute_em(x, a, b, prior, rounds, repeats):
+def brute_em(x, a0, b0, prior, rounds, repeats, anchor):
     """The label model on a plain matrix: posteriors, rates and residual correlations written out row by row."""
-    share = np.ones(x.shape[1])
+    share, a, b = np.ones(x.shape[1]), a0, b0
     for _ in range(rounds):
         weights = share * np.log(a / b)
         lo, hi = -80.0, 80.0
@@ -47,7 +47,7 @@ def brute_em(x, a, b, prior, rounds, repeats):
         rho = left.T @ left / np.outer(scale, scale)
         np.fill_diagonal(rho, 1)
         share = 1 / np.maximum(1, np.where(rho > repeats, rho, 0).sum(1))
-        a, b = (q @ x + 0.1) / (q.sum() + 1), ((1 - q) @ x + 0.01) / ((1 - q).sum() + 1)
+        a, b = ((q @ x + 0.1) / (q.sum() + 1) + anchor * a0) / (1 + anchor), (((1 - q) @ x + 0.01) / ((1 - q).sum() + 1) + anchor * b0) / (1 + anchor)
     return q, rho, share
 
 
@@ -64,11 +64,11 @@ def test_label_model_equals_plain_em_and_needs_no_labels(spark):
     a, b = np.array([0.5, 0.5, 0.5, 0.4, 0.3, 0.5]), np.array([0.1, 0.1, 0.1, 0.4, 0.5, 0.1])
     model = tx.label_model(patterns.repartition(3), 6, a, b, 0.2)
     merged = tx.label_model(patterns.groupBy("hits").count().toDF("hits", "c"), 6, a, b, 0.2)
-    q, rho, share = brute_em(x, a, b, 0.2, tx.ROUNDS, tx.REPEATS)
+    q, rho, share = brute_em(x, a, b, 0.2, tx.ROUNDS, tx.REPEATS, tx.ANCHOR)
     got = 1 / (1 + np.exp(-(x @ model["weights"] + model["bias"])))
     assert np.abs(got - q).max() < 0.02 and np.abs(model["correlations"] - rho).max() < 0.02 and np.abs(model["share"] - share).max() < 0.01
     assert np.abs(merged["weights"] - model["weights"]).max() < 1e-3
-    assert ((got >= 0.5) == y).mean() > 0.93 and model["correlations"][0, 5] > 0.95 and model["share"][0] < 0.55 and model["share"][3] > 0.9
+    assert ((got >= 0.5) == y).mean() > 0.9 and model["correlations"][0, 5] > 0.95 and model["share"][0] < 0.55 and model["share"][3] > 0.9
     assert model["weights"][4] < 0 < model["weights"][2]  # a voter for the clean class
 
 
