@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Smallest hashes kept of an item. A document that contains three quarters of the item's shingles misses them all
-#: with probability under 0.25 ** 16; items of up to 16 shingles keep every hash.
-MINIMA = 16
-#: Bytes of item tables broadcast at once; more items are searched in slices, each against all documents.
-SLICE_BYTES = 16 << 20
-#: Items with more shingles than this take the shuffled path, which has no broadcast.
-LARGE_ITEM = 4096
+#: Rows of a table that may be broadcast, of about 40 bytes each; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 WORD_BREAK = "[^\\\\p{L}\\\\p{N}]+"
 
 
@@ -29,50 +22,61 @@ def with_shingles(df: DataFrame, text: str, n: int = 5) -> DataFrame:
     return hashed.withColumn("sh", F.expr(f"CASE WHEN size(_w) >= {n} THEN array_distinct(transform(sequence(0, size(_w) - {n}), i -> xxhash64({run}))) WHEN size(_w) > 0 THEN array({few}) ELSE cast(array() as array<bigint>) END")).drop("_w")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
-    """(doc_id, item_id, n_item_shingles, n_shared, containment): items of which a document has ``percent`` or more.
+def partitioned(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(signatures, partitions) of items (key, ni, sh).
 
-    Items are partitioned by the size of their shingle sets (powers of two). Each partition keeps the smallest
-    hashes of its items under one hash function, all of them in the small partitions, and a document is compared
-    with the partitions that it is large enough to contain. A document's side is its whole set: beside a long
-    document a short item has a likeness near zero, which no signature of the document can tell from none. A hit
-    is verified at once on the full sets of both, so texts are never shuffled: one scan, one probe of a small
-    broadcast table, and a shuffle of the hits.
-
-    Null and empty texts have no shingle and match nothing; a text or item with fewer than ``n`` words is one
-    shingle, so it matches only an equal one. Repeated rows and repeated ids give one row for each pair of ids, the
-    one with the largest containment. Empty tables give no rows; other columns are ignored.
+    A partition holds the items of one size class (powers of two). The signature of an item is made of its smallest
+    hashes: as many as its class needs for a document with ``percent`` of any item of the class to hold one of them,
+    (100 - percent) in a hundred of the class's largest size, and one more. A partition is (class, the least size of
+    a document that contains one of its items, the largest hash in its signatures): a document's own signature for
+    the partition is made of its hashes up to that one, so partitions of large items probe with a part of its set.
     """
-    # written before it is filtered: a filter on ``sh`` would be moved below and repeat its whole expression
-    entries = materialize(with_shingles(items.select("item_id", "text").distinct(), "text", n), "items")
-    entries = entries.withColumn("ni", F.size("sh")).where("ni > 0").withColumn("class", F.floor(F.log2("ni")).cast("int"))
-    small, large = entries.where(f"ni <= {LARGE_ITEM}"), entries.where(f"ni > {LARGE_ITEM}")
-    probes = small.withColumn("v", F.explode(F.slice(F.array_sort("sh"), 1, MINIMA)))
-    size = probes.agg(F.sum(F.col("ni") * 8 + 64)).first()[0] or 0
-    slices = -(-size // SLICE_BYTES)
-    own = with_shingles(docs.select("doc_id", "text"), "text", n)
-    hits = [_probe(own, probes.where(F.pmod(F.xxhash64("item_id", "v"), F.lit(slices)) == i), percent) for i in range(slices)]
-    if large.limit(1).count():
-        hits.append(_shuffled(own, large, percent))
-    if not hits:
-        hits = [_shuffled(own, large, percent)]
-    found = reduce(DataFrame.union, hits).groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_shared", "n_item_shingles")).alias("m"))
-    return found.select("doc_id", "item_id", "m.n_item_shingles", "m.n_shared", "m.containment")
+    sized = entries.withColumn("class", F.floor(F.log2("ni")).cast("int"))
+    most = F.expr("shiftleft(2L, class) - 1")
+    kept = F.floor(most * (100 - percent) / 100.0).cast("int") + 1
+    signatures = sized.withColumn("v", F.explode(F.slice(F.array_sort("sh"), 1, kept))).select("class", "v", "key", "ni")
+    partitions = signatures.groupBy("class").agg(F.max("v").alias("top"), F.min("ni").alias("least")).select("class", "top", F.ceil(F.col("least") * percent / 100.0).cast("int").alias("room"))
+    return signatures, partitions
 
 
-def _result(df: DataFrame, percent: int) -> DataFrame:
-    df = df.where(f"100 * n_shared >= {percent} * ni")
-    return df.select("doc_id", "item_id", F.col("ni").cast("long").alias("n_item_shingles"), F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("ni")).alias("containment"))
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _probe(own: DataFrame, probes: DataFrame, percent: int) -> DataFrame:
-    table = F.broadcast(probes.select("v", "item_id", "ni", F.col("sh").alias("ish")))  # SLICE_BYTES at most
-    exploded = own.select("doc_id", "sh", F.size("sh").alias("nd"), F.explode_outer("sh").alias("v"))  # outer: no filter on ``sh`` is inferred
-    hits = exploded.join(table, "v").where(f"100 * nd >= {percent} * ni")
-    return _result(hits.withColumn("n_shared", F.size(F.array_intersect("ish", "sh"))), percent)
+def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
+    """(doc_id, item_id, n_item_shingles, n_shared, containment): items of which a document has ``percent`` or more.
 
+    Items are partitioned by the size of their shingle sets, and each partition has MinHash signatures of its own
+    length, see ``partitioned``. One scan of the documents probes every partition that a document is large enough
+    for with the document's signature for it; whatever shares a value is a candidate, so none is missed. Candidates,
+    (document, item) pairs, are then verified on the full sets of both: texts of documents without a candidate are
+    not shingled again, and none is shuffled unless there are very many candidates.
 
-def _shuffled(own: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    parts = large.select("item_id", "ni", F.explode("sh").alias("v"))
-    hits = own.select("doc_id", F.explode_outer("sh").alias("v")).distinct().join(parts, "v")
-    return _result(hits.groupBy("doc_id", "item_id", "ni").agg(F.count("*").alias("n_shared")), percent)
+    A pair of a document and an item is found by their id and text, so repeated ids do not mix. Null and empty texts
+    have no shingle and match nothing; a text or item with fewer than ``n`` words is one shingle, so it matches only
+    an equal one. Repeated rows and repeated ids give one row for each pair of ids, the one with the largest
+    containment; null ids are ids. Empty tables give no rows; other columns are ignored.
+    """
+    # written before it is filtered: a filter on ``sh`` would be moved below and repeat its whole expression
+    own = items.select("item_id", "text").distinct().select("item_id", F.xxhash64("item_id", "text").alias("key"), "text")
+    entries = materialize(with_shingles(own, "text", n), "items").withColumn("ni", F.size("sh")).where("ni > 0")
+    signatures, partitions = partitioned(entries, percent)
+    signatures = materialize(signatures, "signatures")
+    partitions = [r.asDict() for r in materialize(partitions, "partitions").collect()]  # one a power of two
+    base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
+    probes = with_shingles(base.select("h", "text"), "text", n)
+    # hashes of a document that some partition probes with, given the document's size
+    wanted = " OR ".join(f"(nd >= {p['room']} AND v <= {p['top']}L)" for p in partitions if p["top"] != -(2**63)) or "false"
+    if any(p["top"] == -(2**63) for p in partitions):
+        wanted = "true"
+    exploded = probes.select("h", F.size("sh").alias("nd"), F.explode_outer("sh").alias("v"))  # outer: no filter on ``sh`` is inferred
+    hits = exploded.where(wanted).join(_bounded(signatures), "v").where(f"100 * nd >= {percent} * ni")
+    found = materialize(hits.select("h", "key").distinct(), "candidates")
+    texts = base.join(_bounded(materialize(found.select("h").distinct(), "found")), "h", "left_semi").distinct()
+    sets = materialize(with_shingles(texts, "text", n), "document_sets")
+    sized = entries.select("key", "item_id", "ni", F.col("sh").alias("ish"))
+    both = found.join(sets, "h").join(sized, "key").withColumn("n_shared", F.size(F.array_intersect("ish", "sh")))
+    both = both.where(f"100L * n_shared >= {percent}L * ni").select("doc_id", "item_id", F.col("ni").cast("long").alias("n_item_shingles"), F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("ni")).alias("containment"))
+    best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_shared", "n_item_shingles")).alias("m"))
+    return best.select("doc_id", "item_id", "m.n_item_shingles", "m.n_shared", "m.containment")
