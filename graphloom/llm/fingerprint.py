@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -10,18 +9,20 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Cells of a sketch, in three parts.
+#: Cells of a block of a sketch, in three parts.
 PART = 12
 CELLS = 3 * PART
-PEELS = 10
-#: Digests expected in a block of a retried sketch.
+PEELS = 12
+#: Digests expected in a block of a sketch.
 BLOCK = 8
-#: A sentence is cut after an atom whose hash is the least of as many on both sides.
-REACH = 8
+#: A sentence of more characters is cut again, by its content.
+LONG = 96
+#: A long sentence is cut after an atom whose hash is the least of as many on both sides.
+REACH = 4
 #: An atom is a word with its space; beyond so many characters without a space, each is an atom.
 LONG_WORD = 24
-#: Rows of one window over ids.
-RUN = 4096
+#: Rows of ids in a range of the order of documents, about.
+RANGE_ROWS = 500_000
 
 
 def _cut(p: str) -> str:
@@ -34,17 +35,16 @@ def _cut(p: str) -> str:
 
 
 def digests(text: str) -> str:
-    """SQL for the distinct digests of ``text``: its lines are cut into sentences, and these by their content."""
-    # a sentence of few characters has too few atoms to be cut
+    """SQL for the distinct digests of ``text``: its lines are cut into sentences, long ones again by their content."""
     pieces = f"filter(split({text}, '\n|(?<=[.!?]) '), p -> p <> '')"
-    return f"array_distinct(flatten(transform({pieces}, p -> IF(length(p) > {2 * REACH}, {_cut('p')}, array(xxhash64(p))))))"
+    return f"array_distinct(flatten(transform({pieces}, p -> IF(length(p) > {LONG}, {_cut('p')}, array(xxhash64(p))))))"
 
 
-def _places(k: str, salt: int) -> str:
-    return ", ".join(f"'i{j}', cast({j * PART} + pmod(xxhash64({k}, {salt * 3 + j}), {PART}) as int)" for j in range(3))
+def _places(k: str, salt: str) -> str:
+    return ", ".join(f"'i{j}', cast({j * PART} + pmod(xxhash64({k}, {salt} * 3 + {j}), {PART}) as int)" for j in range(3))
 
 
-def cells(keys: str, salt: int = 0) -> str:
+def cells(keys: str, salt: str = "0") -> str:
     """SQL for the sketch of an array of digests: (count, xor of digests, xor of check hashes) for each cell."""
     entries = f"transform({keys}, k -> named_struct('k', k, 'h', xxhash64(k, 77), {_places('k', salt)}))"
     fold = "aggregate(filter(es, e -> e.i0 = i OR e.i1 = i OR e.i2 = i), named_struct('c', 0L, 'k', 0L, 'h', 0L), (a, e) -> named_struct('c', a.c + 1L, 'k', a.k ^ e.k, 'h', a.h ^ e.h))"
@@ -55,7 +55,7 @@ def subtract(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
 
-def peel(difference: str, salt: int = 0) -> str:
+def peel(difference: str, salt: str = "0") -> str:
     """SQL for the digests that two sketches differ in, or null where peeling gets stuck."""
     pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 AND x.h = xxhash64(x.k, 77)), x -> named_struct('c', x.c, 'k', x.k, 'h', x.h, {_places('x.k', salt)})))"
     drop = "transform(s.cells, (x, i) -> aggregate(filter(ps, p -> p.i0 = i OR p.i1 = i OR p.i2 = i), x, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'h', a.h ^ p.h)))"
@@ -65,107 +65,143 @@ def peel(difference: str, salt: int = 0) -> str:
 
 
 def text_form(c: str) -> str:
-    """SQL for a sketch as a string: 12 bytes a cell (digests, count, check) in base 64."""
-    return f"base64(unhex(array_join(transform({c}, x -> concat(lpad(hex(x.k), 16, '0'), right(lpad(hex(x.c), 4, '0'), 4), right(lpad(hex(x.h), 4, '0'), 4))), '')))"
-
-
-def likeness(d: str, a: str, b: str) -> str:
-    """SQL for the Jaccard index of two digest sets from the size of their difference; two empty sets are alike."""
-    return f"IF(size({a}) + size({b}) = 0, 1.0D, (size({a}) + size({b}) - {d}) / (size({a}) + size({b}) + {d}))"
+    """SQL for a block's cells as a string: 20 bytes a cell (digests, count, check hashes), in hexadecimal digits."""
+    return f"array_join(transform({c}, x -> concat(lpad(hex(x.k), 16, '0'), lpad(hex(x.c), 8, '0'), lpad(hex(x.h), 16, '0'))), '')"
 
 
 def previous(ids: DataFrame) -> DataFrame:
-    """(k, h, pk, ph, pn) for rows (k, h, n) distinct by (k, h): the row before each, descending, in a circle.
+    """(k, h, pk, ph) for rows (k, h) distinct by both: the row before each, descending, in a circle.
 
-    Rows are ordered in runs of ids that hold about RUN rows each; the runs' ends are ordered the same way.
+    The rows are parted into ranges of (k, h) by their quantiles, so a range holds its share whatever the ids are;
+    each is ordered by itself, and the ends of the ranges, one row each, tell what comes before their first rows.
     """
-    low, high, count = ids.agg(F.min("k"), F.max("k"), F.count("*")).first()
-    order = (F.col("k").desc(), F.col("h").desc())
-    row = F.struct("k", "h", "n")
-    if not count or count <= RUN or high == low:
-        w = Window.partitionBy(F.lit(0)).orderBy(*order)
-        last = F.last(row).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return ids.withColumn("p", F.coalesce(F.lag(row).over(w), last)).select("k", "h", F.col("p.k").alias("pk"), F.col("p.h").alias("ph"), F.col("p.n").alias("pn"))
-    shift = max(1, math.ceil(math.log2((high - low + 1) * RUN / count)))
-    runs = ids.withColumn("run", F.expr(f"shiftright(k, {shift})"))
-    inside = runs.withColumn("p", F.lag(row).over(Window.partitionBy("run").orderBy(*order)))
-    ends = materialize(runs.groupBy("run").agg(F.min(row).alias("e")).select(F.col("run").alias("k"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("n"), "e"), "runs")
-    above = previous(ends.select("k", "h", "n")).select(F.col("k").alias("run"), F.col("pk").alias("k"))
-    before = materialize(above.join(ends.select("k", "e"), "k").select("run", "e"), "run_ends")
-    joined = inside.join(before, "run").withColumn("p", F.coalesce("p", "e"))
-    return joined.select("k", "h", F.col("p.k").alias("pk"), F.col("p.h").alias("ph"), F.col("p.n").alias("pn"))
+    spark = ids.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // RANGE_ROWS))
+    ranged = materialize(ids.select("k", "h").repartitionByRange(parts, "k", "h").select("k", "h", F.spark_partition_id().alias("run")), "ranges")
+    row = F.struct("k", "h")
+    inside = ranged.withColumn("p", F.lag(row).over(Window.partitionBy("run").orderBy(F.col("k").desc(), F.col("h").desc())))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("e").desc())  # one row a range
+    last = F.last("e").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = ranged.groupBy("run").agg(F.min(row).alias("e")).select("run", F.coalesce(F.lag("e").over(order), last).alias("e"))
+    joined = inside.join(F.broadcast(materialize(ends, "range_ends")), "run").withColumn("p", F.coalesce("p", "e"))
+    return joined.select("k", "h", F.col("p.k").alias("pk"), F.col("p.h").alias("ph"))
 
 
 NO_ID = -(2**63)
 
 
 def edited_versions(docs: DataFrame) -> DataFrame:
-    """(k, h, n, edited, text, next): each text, its edited text and the digests of the next document.
+    """(k, h, n, edited, text, pk, ph): each text, its edited text, and the document that it is the next of.
 
     The last third of the code points is replaced by the first as many of the next document, descending doc_id.
     The texts are shuffled once, by their ids; a third of them goes to the document before.
     """
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    lengths = base.select("k", "h", F.length("text").cast("long").alias("n"))
-    ids = materialize(lengths, "ids")
-    rows = ids.count()
-    single = materialize(ids.distinct(), "distinct_ids")
-    order = materialize(previous(single), "order")
-    givers = base.join(order, ["k", "h"]).select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.expr("left(text, cast(pn div 3 as int))").alias("head"), F.expr(digests("text")).alias("next"))
-    if single.count() < rows:  # rows that repeat give the same to the one before
+    lengths = materialize(base.select("k", "h", F.length("text").cast("long").alias("n")), "ids")
+    single = materialize(lengths.distinct(), "distinct_ids")
+    order = previous(single)
+    order = materialize(order.join(single.select(F.col("k").alias("pk"), F.col("h").alias("ph"), F.col("n").alias("pn")), ["pk", "ph"]).select("k", "h", "pk", "ph", "pn"), "order")
+    own = base.join(order, ["k", "h"])
+    givers = own.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.expr("left(text, cast(pn div 3 as int))").alias("head"))
+    if single.count() < lengths.count():  # rows that repeat give the same to the one before
         givers = givers.dropDuplicates(["k", "h"])
-    both = base.join(givers, ["k", "h"]).withColumn("n", F.length("text").cast("long"))
-    return both.select("k", "h", "n", F.expr("concat(left(text, cast(n - n div 3 as int)), left(head, cast(n div 3 as int)))").alias("edited"), "text", "next")
+    both = own.join(givers, ["k", "h"]).withColumn("n", F.length("text").cast("long"))
+    return both.select("k", "h", "n", F.expr("concat(left(text, cast(n - n div 3 as int)), left(head, cast(n div 3 as int)))").alias("edited"), "text", "pk", "ph")
+
+
+def blocks_for(size: str) -> str:
+    """SQL for the number of blocks of a sketch of so many digests: a power of two."""
+    return f"cast(pow(2, ceil(log2(greatest({size}, {BLOCK}) / {BLOCK}.0D))) as int)"
+
+
+def dealt(sets: DataFrame, keys: list[str], salt: str = "0") -> DataFrame:
+    """(keys, b, block, ks) of ``sets`` (keys, b, ks): the digests dealt to ``b`` blocks; empty blocks have no row."""
+    each = sets.select(*keys, "b", F.explode("ks").alias("x")).withColumn("block", F.expr(f"cast(pmod(xxhash64(x, 1000 + {salt}), b) as int)"))
+    return each.groupBy(*keys, "b", "block").agg(F.collect_list("x").alias("ks"))
+
+
+def sketches(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, b, block, cells, ks): the sketches of the digest sets ``sets`` (keys, ks), block by block.
+
+    A sketch has as few blocks, a power of two, as all can be peeled with by themselves: it lists its whole set, so
+    it can be compared with a sketch of any size. ``ks`` is what peeling gives, not the set that was put in. The
+    number of blocks depends on the set alone: equal texts have equal sketches. Sets whose sketch gets stuck are
+    sketched again in twice the blocks.
+    """
+    done, left = [], sets.withColumn("b", F.expr(blocks_for("size(ks)")))
+    while True:
+        tried = dealt(left, keys).withColumn("cells", F.expr(cells("ks"))).withColumn("ks", F.expr(peel("cells")))
+        tried = materialize(tried, "sketches")
+        stuck = materialize(tried.where("ks IS NULL").select(*keys).distinct(), "stuck")
+        if stuck.isEmpty():
+            done.append(tried)
+            return reduce(DataFrame.union, done)
+        done.append(materialize(tried.join(stuck, keys, "left_anti"), "sketches"))
+        left = materialize(left.join(stuck, keys, "left_semi").withColumn("b", F.col("b") * 2), "stuck_sets")
+
+
+def differences(pairs: DataFrame) -> DataFrame:
+    """(k, h, kind, na, nb, d) of ``pairs`` (k, h, kind, side, b, ks): digests that the sketches of each pair differ in.
+
+    ``ks`` are the digests that a block of a sketch lists, side 1 and -1 the two sketches, with ``b`` blocks each.
+    Both are laid out in the blocks of the larger one, subtracted cell by cell and peeled. Blocks that get stuck are
+    split again with other hashes, until all have peeled.
+    """
+    size = F.max("b").over(Window.partitionBy("k", "h", "kind")).alias("b")
+    each = pairs.select("k", "h", "kind", "side", size, "ks").select("k", "h", "kind", "side", "b", F.explode("ks").alias("x"))
+    left = each.withColumn("path", F.expr("cast(pmod(xxhash64(x, 1000), b) as string)"))
+    done, salt = [], 0
+    while True:
+        side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("x")))
+        grouped = left.groupBy("k", "h", "kind", "path").agg(side(1).alias("a"), side(-1).alias("b"))
+        subtracted = subtract(cells("a", str(salt)), cells("b", str(salt)))
+        tried = grouped.withColumn("d", F.expr(f"coalesce(size({peel(subtracted, str(salt))}), -1)"))
+        tried = tried.select("k", "h", "kind", "path", "d", F.size("a").alias("na"), F.size("b").alias("nb"), *(F.when(F.col("d") < 0, F.col(c)).alias(c) for c in "ab"))
+        tried = materialize(tried, "differences")
+        done.append(tried.where("d >= 0").select("k", "h", "kind", "na", "nb", "d"))
+        stuck = tried.where("d < 0")
+        if stuck.isEmpty():
+            return reduce(DataFrame.union, done).groupBy("k", "h", "kind").agg(*(F.sum(c).alias(c) for c in ("na", "nb", "d")))
+        salt += 1
+        again = stuck.select("k", "h", "kind", "path", F.expr(f"cast(greatest(2, ceil((na + nb) / {BLOCK}.0D)) as int)").alias("m"), F.explode(F.expr("concat(transform(a, x -> named_struct('x', x, 's', 1)), transform(b, x -> named_struct('x', x, 's', -1)))")).alias("e"))
+        left = again.select("k", "h", "kind", F.col("e.s").alias("side"), F.col("e.x").alias("x"), F.concat_ws(".", "path", F.expr(f"cast(pmod(xxhash64(e.x, {1000 + salt}), m) as string)")).alias("path"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     A text's fingerprint is an invertible Bloom lookup sketch of the digests of its sentences, long ones cut by
-    content, in the same way in a line of any length. Sketches of two versions
-    are subtracted and peeled to the digests that differ, which gives their likeness. Where peeling fails, the pair
-    is sketched again in more cells: its digests are dealt to blocks of CELLS cells, about BLOCK to a block, blocks
-    that fail are split again with other hashes, until all have peeled.
+    content: ``<digests>.<blocks>.<block>:<cells>...``, 20 bytes a cell in hexadecimal digits, blocks without a digest
+    left out. A sketch is as large as it must be to list its own digests, see ``sketches``. Likeness, the Jaccard index of
+    the two digest sets, comes from the sketches alone: their digests are listed, laid out in the blocks of the
+    larger sketch, subtracted and peeled, with more blocks where that gets stuck, see ``differences``.
 
     Null texts are empty; an empty text has an empty sketch, and two empty texts are alike (1.0). Equal texts have
     equal fingerprints. A single document is its own next. Rows with one doc_id are ordered by a hash of the text;
     repeated rows count as one in the order and each gives a row. A null doc_id comes last. Other columns are
-    ignored. Sizes of blocks are bounded, so a text of any length takes time in proportion.
+    ignored. Blocks are bounded, so a text of any length takes time in proportion.
     """
-    versions = edited_versions(docs).select("k", "h", "n", F.sha2("edited", 256).alias("sha"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("e"), "next")
-    sketched = versions.withColumn("ca", F.expr(cells("a"))).withColumn("ce", F.expr(cells("e"))).withColumn("cn", F.expr(cells("next")))
-    tried = sketched.withColumn("de", F.expr(f"coalesce(size({peel(subtract('ca', 'ce'))}), -1)")).withColumn("dn", F.expr(f"coalesce(size({peel(subtract('ca', 'cn'))}), -1)"))
-    tried = materialize(tried.drop("ca", "ce", "cn"), "versions")
-    failed = tried.where("de < 0").select("k", "h", F.lit("e").alias("kind"), "a", F.col("e").alias("b"))
-    failed = failed.union(tried.where("dn < 0").select("k", "h", F.lit("n"), "a", "next")).dropDuplicates(["k", "h", "kind"])
-    again = _retry(failed.withColumn("path", F.lit("")))
-    wide = materialize(again.groupBy("k", "h").agg(*(F.max(F.when(F.col("kind") == x, F.col("d"))).alias(f"r{x}") for x in "en")), "retried")
-    out = tried.join(wide, ["k", "h"], "left")
-    out = out.withColumn("de", F.when(F.col("de") < 0, F.col("re")).otherwise(F.col("de"))).withColumn("dn", F.when(F.col("dn") < 0, F.col("rn")).otherwise(F.col("dn")))
+    versions = edited_versions(docs).select("k", "h", "n", "pk", "ph", F.sha2("edited", 256).alias("sha"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("e"))
+    versions = materialize(versions, "versions")
+    sets = versions.select("k", "h", F.explode(F.expr("array(named_struct('v', 't', 'ks', a), named_struct('v', 'e', 'ks', e))")).alias("s")).select("k", "h", "s.*").dropDuplicates(["k", "h", "v"])
+    blocks = sketches(sets, ["k", "h", "v"])
+    form = F.concat(F.col("block").cast("string"), F.lit(":"), F.expr(text_form("cells")))
+    strings = blocks.groupBy("k", "h", "v").agg(F.sum(F.size("ks")).alias("m"), F.first("b").alias("b"), F.array_sort(F.collect_list(F.struct("block", form.alias("f")))).alias("l"))
+    strings = strings.select("k", "h", "v", F.concat_ws(".", F.col("m").cast("string"), F.col("b").cast("string"), F.concat_ws(".", F.col("l.f"))).alias("f"))
+    wide = strings.groupBy("k", "h").agg(*(F.max(F.when(F.col("v") == v, F.col("f"))).alias(f"f{v}") for v in "te"))
+    # each listed block goes to the pairs that its sketch is compared in
+    own = versions.select("k", "h", "pk", "ph").distinct()
+    texts = blocks.where("v = 't'").join(own, ["k", "h"]).select(F.explode(F.array(*(F.struct(F.col(k).alias("k"), F.col(h).alias("h"), F.lit(kind).alias("kind"), F.lit(side).alias("side")) for k, h, kind, side in (("k", "h", "e", 1), ("k", "h", "n", 1), ("pk", "ph", "n", -1))))).alias("p"), "b", "ks").select("p.*", "b", "ks")
+    edited = blocks.where("v = 'e'").select("k", "h", F.lit("e").alias("kind"), F.lit(-1).alias("side"), "b", "ks")
+    differ = differences(texts.union(edited)).withColumn("near", (F.col("na") + F.col("nb") - F.col("d")) / (F.col("na") + F.col("nb") + F.col("d")))
+    near = differ.groupBy("k", "h").agg(*(F.max(F.when(F.col("kind") == x, F.col("near"))).alias(f"near_{x}") for x in "en"))
+    out = versions.select("k", "h", "n", "sha").join(wide, ["k", "h"], "left").join(near, ["k", "h"], "left")
     return out.select(
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
         F.col("n").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
-        F.expr(text_form(cells("a"))).alias("fingerprint"),
-        F.expr(text_form(cells("e"))).alias("edited_fingerprint"),
-        F.expr(likeness("de", "a", "e")).alias("near_edited"),
-        F.expr(likeness("dn", "a", "next")).alias("near_next"),
+        F.coalesce("ft", F.lit("0.1.")).alias("fingerprint"),
+        F.coalesce("fe", F.lit("0.1.")).alias("edited_fingerprint"),
+        F.coalesce("near_e", F.lit(1.0)).alias("near_edited"),
+        F.coalesce("near_n", F.lit(1.0)).alias("near_next"),
     )
-
-
-def _retry(failed: DataFrame) -> DataFrame:
-    """(k, h, kind, d): the number of digests in which the pairs (a, b) differ, by larger and larger sketches."""
-    done, salt = [], 1
-    failed = materialize(failed, "failed")
-    while True:
-        block = f"cast(pmod(xxhash64(x, {1000 + salt}), cast(greatest(1, ceil((size(a) + size(b)) / {BLOCK})) as bigint)) as int)"
-        dealt = failed.select("k", "h", "kind", "path", F.explode(F.expr(f"concat(transform(a, x -> named_struct('x', x, 's', 1, 'g', {block})), transform(b, x -> named_struct('x', x, 's', -1, 'g', {block})))")).alias("i"))
-        dealt = dealt.withColumn("path", F.concat_ws(".", "path", "i.g"))
-        grouped = dealt.groupBy("k", "h", "kind", "path").agg(*(F.collect_list(F.when(F.col("i.s") == s, F.col("i.x"))).alias(c) for s, c in ((1, "a"), (-1, "b"))))
-        grouped = grouped.withColumn("ca", F.expr(cells("a", salt))).withColumn("cb", F.expr(cells("b", salt)))
-        tried = materialize(grouped.withColumn("d", F.expr(f"coalesce(size({peel(subtract('ca', 'cb'), salt)}), -1)")).drop("ca", "cb"), "blocks")
-        done.append(tried.where("d >= 0").select("k", "h", "kind", "d"))
-        failed, salt = tried.where("d < 0").drop("d"), salt + 1
-        if failed.isEmpty():
-            break
-    return reduce(DataFrame.union, done).groupBy("k", "h", "kind").agg(F.sum("d").alias("d"))

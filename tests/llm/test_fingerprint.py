@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import fingerprint as fp
@@ -9,7 +10,38 @@ from .helpers import no_docs, odd_docs
 
 
 def paragraphs(t):
-    return {p for line in t.split("\n") for p in (re.split(r"(?<=[.!?]) ", line) if len(line) > 1000 else [line]) if p}
+    """Sentences, none of them long."""
+    return {p for line in t.split("\n") for p in re.split(r"(?<=[.!?]) ", line) if p}
+
+
+def xx(k, *ints):
+    h = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)
+    for i in ints:
+        h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), h)
+    return h
+
+
+def places(k):
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    return [j * fp.PART + signed(xx(k, j)) % fp.PART for j in range(3)]
+
+
+def listed(fingerprint):
+    """The digests of a fingerprint, peeled from its string alone, in plain Python."""
+    size, blocks, *rest = fingerprint.split(".")
+    out = set()
+    for block in rest if rest != [""] else []:
+        _, text = block.split(":")
+        cells = [[int(text[i : i + 16], 16), int(text[i + 16 : i + 24], 16), int(text[i + 24 : i + 40], 16)] for i in range(0, len(text), 40)]
+        assert len(cells) == fp.CELLS
+        while pure := [(k, h) for k, c, h in cells if c == 1 and xx(k, 77) == h]:
+            k, h = pure[0]
+            out.add(k)
+            for i in places(k):
+                cells[i] = [cells[i][0] ^ k, cells[i][1] - 1, cells[i][2] ^ h]
+        assert not any(any(c) for c in cells)
+    assert int(size) == len(out)
+    return out
 
 
 def likeness(a, b):
@@ -29,6 +61,10 @@ def test_matches_exact_likeness(spark):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(r["near_edited"] - likeness(paragraphs(t), paragraphs(edited))) < 1e-12
         assert abs(r["near_next"] - likeness(paragraphs(t), paragraphs(nxt))) < 1e-12
+        # and both follow from the strings alone
+        assert abs(r["near_edited"] - likeness(listed(r["fingerprint"]), listed(r["edited_fingerprint"]))) < 1e-12
+        follower = rows[order[(at + 1) % len(order)]]
+        assert abs(r["near_next"] - likeness(listed(r["fingerprint"]), listed(follower["fingerprint"]))) < 1e-12
 
 
 def test_peeling_recovers_the_differing_digests(spark):
@@ -50,13 +86,26 @@ def test_odd_rows(spark):
     assert one["near_next"] == 1.0
 
 
-def test_order_in_many_runs(spark, monkeypatch):
-    monkeypatch.setattr(fp, "RUN", 4)
-    ids = [3, 4, 5, 900, 901, -7, 10**12, 17, 18, 19, 20, 21, 22]
-    df = spark.createDataFrame([(i, 0, 1) for i in ids], "k long, h long, n long")
-    got = {r["k"]: r["pk"] for r in fp.previous(df).collect()}
-    order = sorted(ids, reverse=True)
-    assert got == {k: order[i - 1] for i, k in enumerate(order)}
+def test_order_with_null_and_outlying_ids(spark):
+    """Ranges hold their share whatever the ids are: one null and one outlier, clusters, one id for a third of all."""
+    rows = [(fp.NO_ID, 0), (2**62, 0)] + [(i, 0) for i in range(4000)] + [(10**12 + i, 5) for i in range(2000)] + [(7 * 10**9, h) for h in range(3000)]
+    df = spark.createDataFrame(rows, "k long, h long").repartition(5)
+    got = {(r["k"], r["h"]): (r["pk"], r["ph"]) for r in fp.previous(df).collect()}
+    order = sorted(rows, reverse=True)
+    assert got == {x: order[i - 1] for i, x in enumerate(order)}
+    parts = df.repartitionByRange(4, "k", "h").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in parts) < 2 * len(rows) / 4
+
+
+def test_long_texts_and_sketches_that_get_stuck(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BLOCK", 24)  # crowded blocks: many must be sketched again
+    texts = {i: "\n".join(f"line {j} of {i % 2}" for j in range(n)) for i, n in enumerate((3000, 2990, 400, 30, 24, 26, 1))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in fp.fingerprints(docs).collect()}
+    for i in texts:
+        nxt = texts[(i - 1) % len(texts)]
+        assert abs(rows[i]["near_next"] - likeness(paragraphs(texts[i]), paragraphs(nxt))) < 1e-12
+        assert len(listed(rows[i]["fingerprint"])) == len(paragraphs(texts[i]))
 
 
 def test_unchanged_parts_are_alike_in_lines_of_any_length(spark):
