@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Cells of a block of a sketch, in three parts.
-PART = 12
+PART = 18
 CELLS = 3 * PART
-PEELS = 12
-#: Digests expected in a block of a sketch.
-BLOCK = 8
+PEELS = 10
+#: Digests expected in a block of a sketch, at most.
+BLOCK = 24
 #: A sentence of more characters is cut again, by its content.
-LONG = 96
+LONG = 160
 #: A long sentence is cut after an atom whose hash is the least of as many on both sides.
-REACH = 4
+REACH = 8
 #: An atom is a word with its space; beyond so many characters without a space, each is an atom.
 LONG_WORD = 24
 #: Rows of ids in a range of the order of documents, about.
@@ -35,8 +35,9 @@ def _cut(p: str) -> str:
 
 
 def digests(text: str) -> str:
-    """SQL for the distinct digests of ``text``: its lines are cut into sentences, long ones again by their content."""
-    pieces = f"filter(split({text}, '\n|(?<=[.!?]) '), p -> p <> '')"
+    """SQL for the distinct digests of ``text``: its lines are cut at the ends of sentences, but for those whose last letter
+    is late in the alphabet, and what is long after that again by its content."""
+    pieces = f"filter(split({text}, '\n|(?<=[^q-z][.!?]) '), p -> p <> '')"
     return f"array_distinct(flatten(transform({pieces}, p -> IF(length(p) > {LONG}, {_cut('p')}, array(xxhash64(p))))))"
 
 
@@ -46,7 +47,7 @@ def _places(k: str, salt: str) -> str:
 
 def cells(keys: str, salt: str = "0") -> str:
     """SQL for the sketch of an array of digests: (count, xor of digests, xor of check hashes) for each cell."""
-    entries = f"transform({keys}, k -> named_struct('k', k, 'h', xxhash64(k, 77), {_places('k', salt)}))"
+    entries = f"transform({keys}, k -> named_struct('k', k, 'h', xxhash64(k, 77) & 4294967295L, {_places('k', salt)}))"
     fold = "aggregate(filter(es, e -> e.i0 = i OR e.i1 = i OR e.i2 = i), named_struct('c', 0L, 'k', 0L, 'h', 0L), (a, e) -> named_struct('c', a.c + 1L, 'k', a.k ^ e.k, 'h', a.h ^ e.h))"
     return f"transform(array({entries}), es -> transform(sequence(0, {CELLS - 1}), i -> {fold}))[0]"
 
@@ -57,7 +58,7 @@ def subtract(a: str, b: str) -> str:
 
 def peel(difference: str, salt: str = "0") -> str:
     """SQL for the digests that two sketches differ in, or null where peeling gets stuck."""
-    pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 AND x.h = xxhash64(x.k, 77)), x -> named_struct('c', x.c, 'k', x.k, 'h', x.h, {_places('x.k', salt)})))"
+    pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 AND x.h = (xxhash64(x.k, 77) & 4294967295L)), x -> named_struct('c', x.c, 'k', x.k, 'h', x.h, {_places('x.k', salt)})))"
     drop = "transform(s.cells, (x, i) -> aggregate(filter(ps, p -> p.i0 = i OR p.i1 = i OR p.i2 = i), x, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'h', a.h ^ p.h)))"
     step = f"transform(array({pure}), ps -> IF(size(ps) = 0, s, named_struct('cells', {drop}, 'keys', concat(s.keys, transform(ps, p -> p.k)))))[0]"
     end = "IF(forall(s.cells, x -> x.c = 0 AND x.k = 0 AND x.h = 0), s.keys, cast(null as array<bigint>))"
@@ -65,8 +66,24 @@ def peel(difference: str, salt: str = "0") -> str:
 
 
 def text_form(c: str) -> str:
-    """SQL for a block's cells as a string: 20 bytes a cell (digests, count, check hashes), in hexadecimal digits."""
-    return f"array_join(transform({c}, x -> concat(lpad(hex(x.k), 16, '0'), lpad(hex(x.c), 8, '0'), lpad(hex(x.h), 16, '0'))), '')"
+    """SQL for a block's cells: 14 bytes a cell (digests, count, check hashes), as hexadecimal digits."""
+    return f"array_join(transform({c}, x -> concat(lpad(hex(x.k), 16, '0'), lpad(hex(x.c), 4, '0'), lpad(hex(x.h), 8, '0'))), '')"
+
+
+def dealt(entries: str, blocks: str, salt: str = "0") -> str:
+    """SQL for the entries (x, s) of an array dealt to so many blocks: (g, es) for each block that is not empty."""
+    placed = f"array_sort(transform({entries}, e -> named_struct('g', cast(pmod(xxhash64(e.x, 1000 + {salt}), {blocks}) as int), 'x', e.x, 's', e.s)))"
+    cuts = "concat(array(0), IF(size(o) > 1, filter(sequence(1, size(o) - 1), i -> o[i].g <> o[i - 1].g), cast(array() as array<int>)), array(size(o)))"
+    slices = "transform(sequence(0, size(c) - 2), j -> named_struct('g', o[c[j]].g, 'es', slice(o, c[j] + 1, c[j + 1] - c[j])))"
+    return f"IF(size({entries}) = 0, cast(array() as array<struct<g: int, es: array<struct<g: int, x: bigint, s: int>>>>), transform(array({placed}), o -> transform(array({cuts}), c -> {slices})[0])[0])"
+
+
+def signed(keys: str, sign: int) -> str:
+    return f"transform({keys}, x -> named_struct('x', x, 's', {sign}))"
+
+
+def side(block: str, sign: int) -> str:
+    return f"transform(filter({block}.es, e -> e.s = {sign}), e -> e.x)"
 
 
 def previous(ids: DataFrame) -> DataFrame:
@@ -114,67 +131,64 @@ def blocks_for(size: str) -> str:
     return f"cast(pow(2, ceil(log2(greatest({size}, {BLOCK}) / {BLOCK}.0D))) as int)"
 
 
-def dealt(sets: DataFrame, keys: list[str], salt: str = "0") -> DataFrame:
-    """(keys, b, block, ks) of ``sets`` (keys, b, ks): the digests dealt to ``b`` blocks; empty blocks have no row."""
-    each = sets.select(*keys, "b", F.explode("ks").alias("x")).withColumn("block", F.expr(f"cast(pmod(xxhash64(x, 1000 + {salt}), b) as int)"))
-    return each.groupBy(*keys, "b", "block").agg(F.collect_list("x").alias("ks"))
-
-
-def sketches(sets: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, b, block, cells, ks): the sketches of the digest sets ``sets`` (keys, ks), block by block.
+def sketches(sets: DataFrame, name: str) -> DataFrame:
+    """``sets`` with b, the number of blocks of the sketch of its digests ``name``, and with what peeling it lists in
+    their place.
 
     A sketch has as few blocks, a power of two, as all can be peeled with by themselves: it lists its whole set, so
-    it can be compared with a sketch of any size. ``ks`` is what peeling gives, not the set that was put in. The
-    number of blocks depends on the set alone: equal texts have equal sketches. Sets whose sketch gets stuck are
-    sketched again in twice the blocks.
+    it can be compared with a sketch of any size. The number of blocks depends on the set alone: equal texts have
+    equal sketches. A set whose sketch gets stuck is sketched again in twice the blocks.
     """
-    done, left = [], sets.withColumn("b", F.expr(blocks_for("size(ks)")))
+    done, left = [], sets.withColumn("b", F.expr(blocks_for(f"size({name})")))
     while True:
-        tried = dealt(left, keys).withColumn("cells", F.expr(cells("ks"))).withColumn("ks", F.expr(peel("cells")))
-        tried = materialize(tried, "sketches")
-        stuck = materialize(tried.where("ks IS NULL").select(*keys).distinct(), "stuck")
-        if stuck.isEmpty():
-            done.append(tried)
+        blocks = dealt(signed(name, 1), "b")
+        peeled = peel(cells(side("g", 1)))
+        tried = left.withColumn("_listed", F.expr(f"transform({blocks}, g -> {peeled})"))
+        tried = materialize(tried.withColumn("_listed", F.expr("IF(exists(_listed, l -> l IS NULL), null, flatten(_listed))")), "sketches")
+        done.append(tried.where("_listed IS NOT NULL").withColumn(name, F.col("_listed")).drop("_listed"))
+        left = tried.where("_listed IS NULL").drop("_listed").withColumn("b", F.col("b") * 2)
+        if left.isEmpty():
             return reduce(DataFrame.union, done)
-        done.append(materialize(tried.join(stuck, keys, "left_anti"), "sketches"))
-        left = materialize(left.join(stuck, keys, "left_semi").withColumn("b", F.col("b") * 2), "stuck_sets")
 
 
-def differences(pairs: DataFrame) -> DataFrame:
-    """(k, h, kind, na, nb, d) of ``pairs`` (k, h, kind, side, b, ks): digests that the sketches of each pair differ in.
+def string_form(keys: str, blocks: str) -> str:
+    """SQL for a sketch of ``keys`` in so many blocks as a string."""
+    each = f"concat(g.g, ':', base64(unhex({text_form(cells(side('g', 1)))})))"
+    return f"concat(size({keys}), '.', {blocks}, '.', array_join(transform({dealt(signed(keys, 1), blocks)}, g -> {each}), '.'))"
 
-    ``ks`` are the digests that a block of a sketch lists, side 1 and -1 the two sketches, with ``b`` blocks each.
-    Both are laid out in the blocks of the larger one, subtracted cell by cell and peeled. Blocks that get stuck are
-    split again with other hashes, until all have peeled.
-    """
-    size = F.max("b").over(Window.partitionBy("k", "h", "kind")).alias("b")
-    each = pairs.select("k", "h", "kind", "side", size, "ks").select("k", "h", "kind", "side", "b", F.explode("ks").alias("x"))
-    left = each.withColumn("path", F.expr("cast(pmod(xxhash64(x, 1000), b) as string)"))
-    done, salt = [], 0
-    while True:
-        side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("x")))
-        grouped = left.groupBy("k", "h", "kind", "path").agg(side(1).alias("a"), side(-1).alias("b"))
-        subtracted = subtract(cells("a", str(salt)), cells("b", str(salt)))
-        tried = grouped.withColumn("d", F.expr(f"coalesce(size({peel(subtracted, str(salt))}), -1)"))
-        tried = tried.select("k", "h", "kind", "path", "d", F.size("a").alias("na"), F.size("b").alias("nb"), *(F.when(F.col("d") < 0, F.col(c)).alias(c) for c in "ab"))
-        tried = materialize(tried, "differences")
-        done.append(tried.where("d >= 0").select("k", "h", "kind", "na", "nb", "d"))
-        stuck = tried.where("d < 0")
-        if stuck.isEmpty():
-            return reduce(DataFrame.union, done).groupBy("k", "h", "kind").agg(*(F.sum(c).alias(c) for c in ("na", "nb", "d")))
+
+def compared(a: str, b: str, blocks: str, salt: str = "0") -> str:
+    """SQL for the digests that the sketches which list ``a`` and ``b`` differ in, laid out in so many blocks: (d,
+    stuck), the number in blocks that can be peeled, and the blocks that cannot."""
+    each = dealt(f"concat({signed(a, 1)}, {signed(b, -1)})", blocks, salt)
+    tried = f"transform({each}, g -> named_struct('d', coalesce(size({peel(subtract(cells(side('g', 1), salt), cells(side('g', -1), salt)), salt)}), -1), 'g', g))"
+    stuck = f"transform(filter(ts, t -> t.d < 0), t -> named_struct('a', {side('t.g', 1)}, 'b', {side('t.g', -1)}))"
+    return f"transform(array({tried}), ts -> named_struct('d', aggregate(ts, 0, (n, t) -> n + greatest(t.d, 0)), 'stuck', {stuck}))[0]"
+
+
+def differences(pairs: DataFrame) -> DataFrame:
+    """(k, h, kind, d) of ``pairs`` (k, h, kind, d, stuck): blocks that got stuck are split with other hashes until
+    all have peeled."""
+    done, salt = [pairs.select("k", "h", "kind", "d")], 0
+    left = pairs.where("size(stuck) > 0").select("k", "h", "kind", F.explode("stuck").alias("p"))
+    while not left.isEmpty():
         salt += 1
-        again = stuck.select("k", "h", "kind", "path", F.expr(f"cast(greatest(2, ceil((na + nb) / {BLOCK}.0D)) as int)").alias("m"), F.explode(F.expr("concat(transform(a, x -> named_struct('x', x, 's', 1)), transform(b, x -> named_struct('x', x, 's', -1)))")).alias("e"))
-        left = again.select("k", "h", "kind", F.col("e.s").alias("side"), F.col("e.x").alias("x"), F.concat_ws(".", "path", F.expr(f"cast(pmod(xxhash64(e.x, {1000 + salt}), m) as string)")).alias("path"))
+        more = f"cast(greatest(2, ceil((size(p.a) + size(p.b)) / {BLOCK // 2}.0D)) as int)"
+        tried = left.withColumn("c", F.expr(compared("p.a", "p.b", more, str(salt)))).select("k", "h", "kind", "c.d", "c.stuck")
+        tried = materialize(tried, "differences")
+        done.append(tried.select("k", "h", "kind", "d"))
+        left = tried.where("size(stuck) > 0").select("k", "h", "kind", F.explode("stuck").alias("p"))
+    return reduce(DataFrame.union, done).groupBy("k", "h", "kind").agg(F.sum("d").alias("d"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     A text's fingerprint is an invertible Bloom lookup sketch of the digests of its sentences, long ones cut by
-    content: ``<digests>.<blocks>.<block>:<cells>...``, 20 bytes a cell in hexadecimal digits, blocks without a digest
-    left out. A sketch is as large as it must be to list its own digests, see ``sketches``. Likeness, the Jaccard index of
-    the two digest sets, comes from the sketches alone: their digests are listed, laid out in the blocks of the
-    larger sketch, subtracted and peeled, with more blocks where that gets stuck, see ``differences``.
+    content: ``<digests>.<blocks>.<block>:<cells>...``, 14 bytes a cell in base 64, blocks without a digest left out.
+    A sketch is as large as it must be to list its own digests, see ``sketches``. Likeness, the Jaccard index of the
+    two digest sets, comes from the sketches alone: their digests are listed, laid out in the blocks of the larger
+    sketch, subtracted and peeled; blocks that get stuck are split into more, see ``differences``.
 
     Null texts are empty; an empty text has an empty sketch, and two empty texts are alike (1.0). Equal texts have
     equal fingerprints. A single document is its own next. Rows with one doc_id are ordered by a hash of the text;
@@ -182,26 +196,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ignored. Blocks are bounded, so a text of any length takes time in proportion.
     """
     versions = edited_versions(docs).select("k", "h", "n", "pk", "ph", F.sha2("edited", 256).alias("sha"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("e"))
-    versions = materialize(versions, "versions")
-    sets = versions.select("k", "h", F.explode(F.expr("array(named_struct('v', 't', 'ks', a), named_struct('v', 'e', 'ks', e))")).alias("s")).select("k", "h", "s.*").dropDuplicates(["k", "h", "v"])
-    blocks = sketches(sets, ["k", "h", "v"])
-    form = F.concat(F.col("block").cast("string"), F.lit(":"), F.expr(text_form("cells")))
-    strings = blocks.groupBy("k", "h", "v").agg(F.sum(F.size("ks")).alias("m"), F.first("b").alias("b"), F.array_sort(F.collect_list(F.struct("block", form.alias("f")))).alias("l"))
-    strings = strings.select("k", "h", "v", F.concat_ws(".", F.col("m").cast("string"), F.col("b").cast("string"), F.concat_ws(".", F.col("l.f"))).alias("f"))
-    wide = strings.groupBy("k", "h").agg(*(F.max(F.when(F.col("v") == v, F.col("f"))).alias(f"f{v}") for v in "te"))
-    # each listed block goes to the pairs that its sketch is compared in
-    own = versions.select("k", "h", "pk", "ph").distinct()
-    texts = blocks.where("v = 't'").join(own, ["k", "h"]).select(F.explode(F.array(*(F.struct(F.col(k).alias("k"), F.col(h).alias("h"), F.lit(kind).alias("kind"), F.lit(side).alias("side")) for k, h, kind, side in (("k", "h", "e", 1), ("k", "h", "n", 1), ("pk", "ph", "n", -1))))).alias("p"), "b", "ks").select("p.*", "b", "ks")
-    edited = blocks.where("v = 'e'").select("k", "h", F.lit("e").alias("kind"), F.lit(-1).alias("side"), "b", "ks")
-    differ = differences(texts.union(edited)).withColumn("near", (F.col("na") + F.col("nb") - F.col("d")) / (F.col("na") + F.col("nb") + F.col("d")))
-    near = differ.groupBy("k", "h").agg(*(F.max(F.when(F.col("kind") == x, F.col("near"))).alias(f"near_{x}") for x in "en"))
-    out = versions.select("k", "h", "n", "sha").join(wide, ["k", "h"], "left").join(near, ["k", "h"], "left")
+    listed = sketches(materialize(versions, "versions"), "a").withColumnRenamed("b", "ba")
+    listed = sketches(listed, "e").withColumnRenamed("b", "be")
+    # the sketch of each document goes to the one that it is the next of
+    nexts = listed.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.col("a").alias("x"), F.col("ba").alias("bx")).dropDuplicates(["k", "h"])
+    both = listed.select("k", "h", "a", "ba", "e", "be").dropDuplicates(["k", "h"]).join(nexts, ["k", "h"])
+    tried = both.select("k", "h", *(F.expr(compared("a", other, f"greatest(ba, b{other})")).alias(f"c{other}") for other in "ex"))
+    tried = materialize(tried, "compared")
+    differ = differences(tried.select("k", "h", F.lit("e").alias("kind"), "ce.*").union(tried.select("k", "h", F.lit("x"), "cx.*")))
+    wide = differ.groupBy("k", "h").agg(*(F.max(F.when(F.col("kind") == x, F.col("d"))).alias(f"d{x}") for x in "ex"))
+    near = both.select("k", "h", *(F.size(c).alias(f"n{c}") for c in "aex")).join(wide, ["k", "h"])
+    near = materialize(near.select("k", "h", *(F.expr(f"IF(na + n{c} = 0, 1.0D, (na + n{c} - d{c}) / (na + n{c} + d{c}))").alias(f"near_{c}") for c in "ex")), "near")
+    out = listed.join(near, ["k", "h"])
     return out.select(
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
         F.col("n").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
-        F.coalesce("ft", F.lit("0.1.")).alias("fingerprint"),
-        F.coalesce("fe", F.lit("0.1.")).alias("edited_fingerprint"),
-        F.coalesce("near_e", F.lit(1.0)).alias("near_edited"),
-        F.coalesce("near_n", F.lit(1.0)).alias("near_next"),
+        F.expr(string_form("a", "ba")).alias("fingerprint"),
+        F.expr(string_form("e", "be")).alias("edited_fingerprint"),
+        F.col("near_e").alias("near_edited"),
+        F.col("near_x").alias("near_next"),
     )
