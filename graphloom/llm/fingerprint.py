@@ -15,6 +15,8 @@ CELLS = 3 * PART
 PEELS = 10
 #: Digests expected in a block of a sketch, at most.
 BLOCK = 24
+#: Hash functions that a block is tried with: two digests with the same cells get stuck, whatever the block's size.
+SALTS = 4
 #: A sentence of more characters is cut again, by its content.
 LONG = 160
 #: A long sentence is cut after an atom whose hash is the least of as many on both sides.
@@ -135,26 +137,29 @@ def sketches(sets: DataFrame, name: str) -> DataFrame:
     """``sets`` with b, the number of blocks of the sketch of its digests ``name``, and with what peeling it lists in
     their place.
 
-    A sketch has as few blocks, a power of two, as all can be peeled with by themselves: it lists its whole set, so
-    it can be compared with a sketch of any size. The number of blocks depends on the set alone: equal texts have
-    equal sketches. A set whose sketch gets stuck is sketched again in twice the blocks.
+    A sketch has as few blocks, a power of two, as all can be peeled with by themselves, each with one of SALTS hash
+    functions, whose number goes to ``salts``: it lists its whole set, so it can be compared with a sketch of any
+    size. All this depends on the set alone: equal texts have equal sketches. A set whose sketch gets stuck is
+    sketched again in twice the blocks.
     """
+    listing = "cast(null as struct<s: int, l: array<bigint>>)"
+    for salt in reversed(range(SALTS)):
+        listing = f"transform(array({peel(cells('ks', str(salt)), str(salt))}), p{salt} -> IF(p{salt} IS NOT NULL, named_struct('s', {salt}, 'l', p{salt}), {listing}))[0]"
     done, left = [], sets.withColumn("b", F.expr(blocks_for(f"size({name})")))
     while True:
-        blocks = dealt(signed(name, 1), "b")
-        peeled = peel(cells(side("g", 1)))
-        tried = left.withColumn("_listed", F.expr(f"transform({blocks}, g -> {peeled})"))
-        tried = materialize(tried.withColumn("_listed", F.expr("IF(exists(_listed, l -> l IS NULL), null, flatten(_listed))")), "sketches")
-        done.append(tried.where("_listed IS NOT NULL").withColumn(name, F.col("_listed")).drop("_listed"))
-        left = tried.where("_listed IS NULL").drop("_listed").withColumn("b", F.col("b") * 2)
+        tried = left.withColumn("_listed", F.expr(f"transform({dealt(signed(name, 1), 'b')}, g -> transform(array({side('g', 1)}), ks -> {listing})[0])"))
+        tried = materialize(tried, "sketches")
+        stuck = F.expr("exists(_listed, l -> l IS NULL)")
+        done.append(tried.where(~stuck).withColumns({name: F.expr("flatten(_listed.l)"), "salts": F.expr("_listed.s")}).drop("_listed"))
+        left = tried.where(stuck).drop("_listed").withColumn("b", F.col("b") * 2)
         if left.isEmpty():
             return reduce(DataFrame.union, done)
 
 
-def string_form(keys: str, blocks: str) -> str:
+def string_form(keys: str, blocks: str, salts: str) -> str:
     """SQL for a sketch of ``keys`` in so many blocks as a string."""
-    each = f"concat(g.g, ':', base64(unhex({text_form(cells(side('g', 1)))})))"
-    return f"concat(size({keys}), '.', {blocks}, '.', array_join(transform({dealt(signed(keys, 1), blocks)}, g -> {each}), '.'))"
+    each = f"concat(g.g, ':', {salts}[j], ':', base64(unhex({text_form(cells(side('g', 1), f'{salts}[j]'))})))"
+    return f"concat(size({keys}), '.', {blocks}, '.', array_join(transform({dealt(signed(keys, 1), blocks)}, (g, j) -> {each}), '.'))"
 
 
 def compared(a: str, b: str, blocks: str, salt: str = "0") -> str:
@@ -185,7 +190,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     A text's fingerprint is an invertible Bloom lookup sketch of the digests of its sentences, long ones cut by
-    content: ``<digests>.<blocks>.<block>:<cells>...``, 14 bytes a cell in base 64, blocks without a digest left out.
+    content: ``<digests>.<blocks>.<block>:<hash function>:<cells>...``, 14 bytes a cell in base 64, blocks without a digest left out.
     A sketch is as large as it must be to list its own digests, see ``sketches``. Likeness, the Jaccard index of the
     two digest sets, comes from the sketches alone: their digests are listed, laid out in the blocks of the larger
     sketch, subtracted and peeled; blocks that get stuck are split into more, see ``differences``.
@@ -196,8 +201,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ignored. Blocks are bounded, so a text of any length takes time in proportion.
     """
     versions = edited_versions(docs).select("k", "h", "n", "pk", "ph", F.sha2("edited", 256).alias("sha"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("e"))
-    listed = sketches(materialize(versions, "versions"), "a").withColumnRenamed("b", "ba")
-    listed = sketches(listed, "e").withColumnRenamed("b", "be")
+    listed = sketches(materialize(versions, "versions"), "a").withColumnsRenamed({"b": "ba", "salts": "sa"})
+    listed = sketches(listed, "e").withColumnsRenamed({"b": "be", "salts": "se"})
     # the sketch of each document goes to the one that it is the next of
     nexts = listed.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.col("a").alias("x"), F.col("ba").alias("bx")).dropDuplicates(["k", "h"])
     both = listed.select("k", "h", "a", "ba", "e", "be").dropDuplicates(["k", "h"]).join(nexts, ["k", "h"])
@@ -212,8 +217,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
         F.col("n").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
-        F.expr(string_form("a", "ba")).alias("fingerprint"),
-        F.expr(string_form("e", "be")).alias("edited_fingerprint"),
+        F.expr(string_form("a", "ba", "sa")).alias("fingerprint"),
+        F.expr(string_form("e", "be", "se")).alias("edited_fingerprint"),
         F.col("near_e").alias("near_edited"),
         F.col("near_x").alias("near_next"),
     )

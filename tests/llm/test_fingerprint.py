@@ -23,9 +23,9 @@ def xx(k, *ints):
     return h
 
 
-def places(k):
+def places(k, salt):
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    return [j * fp.PART + signed(xx(k, j)) % fp.PART for j in range(3)]
+    return [j * fp.PART + signed(xx(k, salt * 3 + j)) % fp.PART for j in range(3)]
 
 
 def listed(fingerprint):
@@ -33,14 +33,14 @@ def listed(fingerprint):
     size, blocks, *rest = fingerprint.split(".")
     out = set()
     for block in rest if rest != [""] else []:
-        _, text = block.split(":")
+        _, salt, text = block.split(":")
         raw = base64.b64decode(text)
         cells = [list(struct.unpack_from(">QHI", raw, i)) for i in range(0, len(raw), 14)]
         assert len(cells) == fp.CELLS
         while pure := [(k, h) for k, c, h in cells if c == 1 and xx(k, 77) & 0xFFFFFFFF == h]:
             k, h = pure[0]
             out.add(k)
-            for i in places(k):
+            for i in places(k, int(salt)):
                 cells[i] = [cells[i][0] ^ k, cells[i][1] - 1, cells[i][2] ^ h]
         assert not any(any(c) for c in cells)
     assert int(size) == len(out)
