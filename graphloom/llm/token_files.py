@@ -153,7 +153,6 @@ def _chunk_ids(path: str) -> ChunkCache:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         wide = tok.get_vocab_size() > 1 << 16
 
         def encode(chunks: list[bytes]):
@@ -287,7 +286,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write and read back all documents.
 
     Null and empty texts hold the end id alone. Repeated rows follow each other; rows with one doc_id are ordered by
-    a checksum of their ids. A null doc_id comes first. An empty table gives no file and no row. Special tokens'
-    strings inside texts are encoded as ordinary text. Other columns are ignored.
+    a checksum of their ids. A null doc_id comes first. An empty table gives no file and no row. Strings of added tokens
+    inside texts become those tokens, as the library's plain call does. Other columns are ignored.
     """
     return read_token_files(write_token_files(docs, tokenizer, end_id))
