@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare
 from .textops import text_slices
 from .toxicity import held_out
 
-#: Labelled rows that the network is fitted on, at most: those with the smallest hashes of their ids.
-MAX_ROWS = 6000
+#: Labelled rows of a language that the network is fitted on, at most: those with the smallest hashes.
+MAX_ROWS = 2000
 #: Bytes in a window.
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -112,22 +112,39 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return flat.reshape(-1, WINDOW), np.repeat(np.arange(len(size)), n)
 
 
+def _one_window(batches):
+    """One of the windows of each text, by the row's hash: any place of the whole text, as long as in a prediction."""
+    for b in batches:
+        found = []
+        for h, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            x, _ = windows(raw, np.array([0, len(raw)]))
+            x = x[LETTER[x].any(1)]
+            found.append(x[h % len(x)].tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["h", "lang", "w"])
+
+
 def train(docs: DataFrame) -> dict:
-    """Fit on one window from the inside of each of a bounded sample of rows with a language that are not held out."""
+    """Fit on one window of each of a bounded sample of rows with a language that are not held out, MAX_ROWS a language.
+
+    The sample is the rows with the smallest hashes of id and text, counted first, so that little more than it is
+    ever ordered, and ids before texts; rows that repeat count once. Every language of the rows is learned.
+    """
     prepare(docs.sparkSession)
-    room = F.greatest(F.length("text") - WINDOW, F.lit(1))
-    at = F.pmod(F.xxhash64("doc_id", F.lit(11)), room).cast("int") + 1
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out(parts=4, part=2))
-    rows = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.col("text").substr(at, F.lit(WINDOW)).alias("w"))
-    rows = rows.where(F.col("w").rlike("\\p{L}")).orderBy("h", "doc_id", "lang").limit(MAX_ROWS)
-    rows = materialize(rows.select("h", "doc_id", "lang", "w"), "windows").orderBy("h", "doc_id", "lang").toArrow()
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("c"))
+    # a share of each language that holds MAX_ROWS with near certainty
+    share = F.least(F.lit(1.0), (2 * MAX_ROWS + 100) / F.col("c"))
+    near = rows.select("lang", "h").join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    chosen = materialize(near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= MAX_ROWS).drop("r"), "sample")
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # MAX_ROWS a language
+    rows = materialize(sample.select("h", "lang", "text").mapInArrow(_one_window, "h long, lang string, w binary"), "windows").orderBy("lang", "h").toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     if not langs:
         return {"langs": []}
-    x = np.full((len(rows), WINDOW), 32, np.uint8)
-    for i, t in enumerate(rows["w"].to_pylist()):
-        raw = np.frombuffer(t.encode()[:WINDOW], np.uint8)
-        x[i, : len(raw)] = raw
+    x = np.frombuffer(b"".join(rows["w"].to_pylist()), np.uint8).reshape(-1, WINDOW)
     y = np.array([langs.index(v) for v in rows["lang"].to_pylist()])
     return {"langs": langs, "net": compiled(fit(x, y, len(langs)))}
 
@@ -183,8 +200,9 @@ def identify_language(docs: DataFrame) -> DataFrame:
 
     The network learns from text and ``lang`` of rows that are not held out. A prediction reads the whole text, as
     windows of 256 bytes weighed by their letters; ``score`` is the mean probability of the language. Null texts and
-    texts without a letter are ``und`` with score 0, and so is every text if no row has a language. Repeated rows
-    are predicted alike; other columns are ignored. A map over the texts without a shuffle.
+    texts without a letter are ``und`` with score 0, and so is every text if no row has a language. Of languages with
+    one score the first by name is predicted. Repeated rows are predicted alike, a null doc_id is held out or not by
+    the checksum of the empty string, and other columns are ignored. A map over the texts without a shuffle.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
     rows = docs.select("doc_id", held_out(parts=4, part=2).alias("held_out"), "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("lettered"))

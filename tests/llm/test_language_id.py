@@ -28,3 +28,14 @@ def test_odd_rows(spark):
     assert kept.columns == d.columns and {1002, 1003, 1005, 1007}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.count() >= 120
     assert identify_language(no_docs(spark)).count() == 0
     assert {r["lang_pred"] for r in identify_language(odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    from graphloom.llm import language_id
+
+    monkeypatch.setattr(language_id, "MAX_ROWS", 60)
+    d = docs(spark)
+    rare = spark.createDataFrame([(5000 + i, "какой же это был длинный и тёплый вечер " * 4, "ru", "s", 1, 0.5, "x", "y", "z") for i in range(12)], SCHEMA)
+    many = d.union(d.withColumn("doc_id", F.col("doc_id") + 200)).union(d.withColumn("doc_id", F.col("doc_id") + 400)).union(rare)
+    rows = identify_language(many).where("doc_id >= 5000").collect()
+    assert len(rows) == 12 and {r["lang_pred"] for r in rows} == {"ru"}
