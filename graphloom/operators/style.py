@@ -6,15 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+#: Fixed by the language: pseudo-elements that may be written with one colon.
+OLD_PSEUDO_ELEMENTS = ("before", "after", "first-line", "first-letter")
+_NAME = r"(?:[\p{L}_-]|\\.)(?:[\p{L}\p{N}_-]|\\.)*"
 
 
 def specificity(selector: Column) -> Column:
-    """100 for ids, 10 for classes, pseudo-classes and attributes, 1 for elements and pseudo-elements."""
-    s = F.regexp_replace(selector, r"(?s)/\*.*?\*/", "")
-    tens = _count(s, r"\.[\w-]+") + _count(s, r"(?:^|[^:]):[\w-]+(?:\([^)]*\))?") + _count(s, r"\[[^\]]+\]")
-    return 100 * _count(s, r"#[\w-]+") + 10 * tens + _count(s, r"(?:^|[\s>+~])[a-z][\w-]*") + _count(s, r"::[\w-]+")
+    """A selector's weight by the rules of cascading style sheets, as 100 a + 10 b + c.
+
+    a: ids; b: classes, attributes and pseudo-classes; c: types and pseudo-elements. ``:where(...)`` weighs nothing.
+    ``:is``, ``:not`` and ``:has`` weigh what their arguments do, which are counted like the rest of the selector
+    (of a list all its members, not the heaviest alone). Strings in attributes and comments hold no selectors.
+    """
+    bare = F.regexp_replace(F.coalesce(selector, F.lit("")), r"(?s)/[*].*?[*]/", " ")
+    attributes = F.regexp_count(bare, F.lit(r"\[[^\]]*\]"))
+    rest = F.regexp_replace(bare, r"\[[^\]]*\]", "")
+    rest = F.regexp_replace(rest, r":where\([^()]*\)", "")
+    rest = F.regexp_replace(rest, r":(?:is|not|has)\(([^()]*)\)", " $1 ")
+    # what is left is cut into simple selectors; arguments of other pseudo-classes are not selectors
+    rest = F.regexp_replace(rest, r"\([^()]*\)", "")
+    old = "|".join(OLD_PSEUDO_ELEMENTS)
+    parts = F.regexp_extract_all(rest, F.lit(f"(::?|[.#])?{_NAME}"), F.lit(0))
+    kind = lambda x: (
+        F.when(x.startswith("#"), 100)
+        .when(x.startswith("::") | x.rlike(f"^:(?:{old})$"), 1)
+        .when(x.startswith(".") | x.startswith(":"), 10)
+        .otherwise(1)
+    )
+    weights = F.transform(parts, kind)
+    return (F.aggregate(weights, F.lit(0), lambda a, w: a + w) + 10 * attributes).cast("int")
 
 
 def style_rules(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
