@@ -17,9 +17,9 @@ SYMBOLS = "file_path string, record string, kind string, name string, qualified_
 
 # Languages by file extension.
 LANGUAGES = {
-    "py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "cjs": "javascript",
-    "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp",
-    "php": "php", "rb": "ruby", "swift": "swift", "kt": "kotlin", "dart": "dart", "scala": "scala", "lua": "lua",
+    "py": "python", "pyw": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "cjs": "javascript",
+    "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "cs": "csharp",
+    "php": "php", "rb": "ruby", "rake": "ruby", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "dart": "dart", "scala": "scala", "lua": "lua",
     "luau": "luau", "pas": "pascal", "svelte": "svelte", "vue": "vue", "liquid": "liquid", "css": "css",
 }
 

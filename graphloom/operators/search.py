@@ -14,6 +14,12 @@ TOKEN = "[^a-z0-9]+"
 # Full-text weights by column, and the constants of BM25.
 WEIGHTS = {"name": 20.0, "qualified_name": 5.0}
 K1, B = 1.2, 0.75
+# Kinds of nodes.
+KINDS = (
+    "file", "module", "class", "struct", "interface", "trait", "protocol", "function", "method", "property", "field",
+    "variable", "constant", "enum", "enum_member", "type_alias", "namespace", "parameter", "import", "export", "route",
+    "component", "selector", "css_variable",
+)
 
 
 @dataclass
@@ -26,13 +32,17 @@ class Query:
 
 
 def parse_query(raw: str) -> Query:
-    """``kind:``, ``lang:``/``language:``, ``path:`` and ``name:`` filters, values may be quoted; the rest is text."""
+    """``kind:``, ``lang:``/``language:``, ``path:`` and ``name:`` filters, values may be quoted; the rest is text, and so
+    is ``kind:`` with a value that is no kind."""
     out, text = Query(), []
     into = {"kind": out.kinds, "lang": out.languages, "language": out.languages, "path": out.paths, "name": out.names}
     for m in re.finditer(r'(?:(\w+):)?(?:"([^"]*)"|(\S+))', raw):
         prefix, value = m[1], m[2] if m[2] is not None else m[3]
-        if prefix and prefix.lower() in into and value:
-            into[prefix.lower()].append(value)
+        field_ = (prefix or "").lower()
+        if field_ == "kind" and value.lower() in KINDS:
+            out.kinds.append(value.lower())
+        elif field_ in into and field_ != "kind" and value:
+            into[field_].append(value)
         else:
             text.append(f"{prefix}:{value}" if prefix else value)
     out.text = " ".join(text)
