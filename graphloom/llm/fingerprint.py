@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Cells of a block of a sketch, in three parts.
-PART = 18
+PART = 9
 CELLS = 3 * PART
 PEELS = 10
+#: Bits of a cell's count where a part's counts are packed into one number: at least what CELLS digests need.
+COUNT_BITS = 5
 #: Digests expected in a block of a sketch, at most.
-BLOCK = 24
+BLOCK = 12
 #: Hash functions that a block is tried with: two digests with the same cells get stuck, whatever the block's size.
-SALTS = 4
+SALTS = 8
 #: A sentence of more characters is cut again, by its content.
 LONG = 160
 #: A long sentence is cut after an atom whose hash is the least of as many on both sides.
@@ -29,7 +31,7 @@ RANGE_ROWS = 500_000
 
 def _cut(p: str) -> str:
     """SQL for the digests of a sentence's pieces. Whether it is cut at a place depends on the atoms beside it alone."""
-    least = f"forall(sequence(1, {REACH}), d -> hs[i] <= hs[i - d] AND hs[i] <= hs[i + d])"
+    least = f"hs[i] <= hs[i - 1] AND hs[i] <= hs[i + 1] AND forall(sequence(2, {REACH}), d -> hs[i] <= hs[i - d] AND hs[i] <= hs[i + d])"
     ends = f"concat(array(-1), filter(sequence({REACH}, size(hs) - 1 - {REACH}), i -> {least}), array(size(hs) - 1))"
     hashed = "transform(sequence(1, size(b) - 1), j -> xxhash64(array_join(slice(ws, b[j - 1] + 2, b[j] - b[j - 1]), '')))"
     cut = f"transform(array(transform(ws, w -> xxhash64(w))), hs -> transform(array({ends}), b -> {hashed})[0])[0]"
@@ -64,9 +66,22 @@ def peel(difference: str, salt: str = "0") -> str:
     pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 AND x.h = (xxhash64(x.k, 77) & 4294967295L)), x -> named_struct('c', x.c, 'k', x.k, 'h', x.h, {_places('x.k', salt)})))"
     one = "transform(slice(s.cells, {1}, {2}), (x, i) -> aggregate(filter(ps, p -> p.i{0} = i), x, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'h', a.h ^ p.h)))"
     drop = f"concat({', '.join(one.format(j, j * PART + 1, PART) for j in range(3))})"
-    step = f"transform(array({pure}), ps -> IF(size(ps) = 0, s, named_struct('cells', {drop}, 'keys', concat(s.keys, transform(ps, p -> p.k)))))[0]"
+    step = f"transform(array({pure}), ps -> IF(size(ps) = 0, named_struct('cells', s.cells, 'keys', s.keys, 'more', false), named_struct('cells', {drop}, 'keys', concat(s.keys, transform(ps, p -> p.k)), 'more', true)))[0]"
     end = "IF(forall(s.cells, x -> x.c = 0 AND x.k = 0 AND x.h = 0), s.keys, cast(null as array<bigint>))"
-    return f"aggregate(sequence(1, {PEELS}), named_struct('cells', {difference}, 'keys', cast(array() as array<bigint>)), (s, r) -> {step}, s -> {end})"
+    return f"aggregate(sequence(1, {PEELS}), named_struct('cells', {difference}, 'keys', cast(array() as array<bigint>), 'more', true), (s, r) -> IF(s.more, {step}, s), s -> {end})"
+
+
+def listable(keys: str, salt: str = "0") -> str:
+    """SQL for whether peeling lists all of a block's digests.
+
+    In the sketch of a set all counts are positive, so a cell can be peeled if and only if one digest is left in it:
+    the rounds of ``peel`` are gone through by counts alone, the counts of a part's cells packed into one number.
+    """
+    bits = ", ".join(f"'c{j}', shiftleft(1L, {COUNT_BITS} * cast(pmod(xxhash64(k, {salt} * 3 + {j}), {PART}) as int))" for j in range(3))
+    sums = "aggregate(es, named_struct('c0', 0L, 'c1', 0L, 'c2', 0L), (n, e) -> named_struct('c0', n.c0 + e.c0, 'c1', n.c1 + e.c1, 'c2', n.c2 + e.c2))"
+    alone = " OR ".join(f"(n.c{j} & (e.c{j} * {2**COUNT_BITS - 1}L)) = e.c{j}" for j in range(3))
+    step = f"IF(size(es) = 0, es, transform(array({sums}), n -> filter(es, e -> NOT ({alone})))[0])"
+    return f"IF(size({keys}) > {CELLS}, false, aggregate(sequence(1, {PEELS}), transform({keys}, k -> named_struct({bits})), (es, r) -> {step}, es -> size(es) = 0))"
 
 
 def text_form(c: str) -> str:
@@ -76,7 +91,7 @@ def text_form(c: str) -> str:
 
 def dealt(entries: str, blocks: str, salt: str = "0") -> str:
     """SQL for the entries (x, s) of an array dealt to so many blocks: (g, es) for each block that is not empty."""
-    placed = f"array_sort(transform({entries}, e -> named_struct('g', cast(pmod(xxhash64(e.x, 1000 + {salt}), {blocks}) as int), 'x', e.x, 's', e.s)))"
+    placed = f"transform(array({blocks}), n -> array_sort(transform({entries}, e -> named_struct('g', cast(pmod(xxhash64(e.x, 1000 + {salt}), n) as int), 'x', e.x, 's', e.s))))[0]"
     cuts = "concat(array(0), IF(size(o) > 1, filter(sequence(1, size(o) - 1), i -> o[i].g <> o[i - 1].g), cast(array() as array<int>)), array(size(o)))"
     slices = "transform(sequence(0, size(c) - 2), j -> named_struct('g', o[c[j]].g, 'es', slice(o, c[j] + 1, c[j + 1] - c[j])))"
     return f"IF(size({entries}) = 0, cast(array() as array<struct<g: int, es: array<struct<g: int, x: bigint, s: int>>>>), transform(array({placed}), o -> transform(array({cuts}), c -> {slices})[0])[0])"
@@ -136,24 +151,23 @@ def blocks_for(size: str) -> str:
 
 
 def sketches(sets: DataFrame, name: str) -> DataFrame:
-    """``sets`` with b, the number of blocks of the sketch of its digests ``name``, and with what peeling it lists in
-    their place.
+    """``sets`` with b, the number of blocks of the sketch of its digests ``name``, and ``salts``, their hash functions.
 
-    A sketch has as few blocks, a power of two, as all can be peeled with by themselves, each with one of SALTS hash
-    functions, whose number goes to ``salts``: it lists its whole set, so it can be compared with a sketch of any
-    size. All this depends on the set alone: equal texts have equal sketches. A set whose sketch gets stuck is
-    sketched again in twice the blocks.
+    A sketch has as few blocks, a power of two, as all can be peeled with by themselves, each with the first of SALTS
+    hash functions that it can be: it lists its whole set, so it can be compared with a sketch of any size, starting
+    from what it lists. All this depends on the set alone: equal texts have equal sketches. A set whose sketch gets
+    stuck is sketched again in twice the blocks.
     """
-    listing = "cast(null as struct<s: int, l: array<bigint>>)"
+    found = "cast(null as int)"
     for salt in reversed(range(SALTS)):
-        listing = f"transform(array({peel(cells('ks', str(salt)), str(salt))}), p{salt} -> IF(p{salt} IS NOT NULL, named_struct('s', {salt}, 'l', p{salt}), {listing}))[0]"
+        found = f"IF({listable('ks', str(salt))}, {salt}, {found})"
     done, left = [], sets.withColumn("b", F.expr(blocks_for(f"size({name})")))
     while True:
-        tried = left.withColumn("_listed", F.expr(f"transform({dealt(signed(name, 1), 'b')}, g -> transform(array({side('g', 1)}), ks -> {listing})[0])"))
+        tried = left.withColumn("salts", F.expr(f"transform({dealt(signed(name, 1), 'b')}, g -> transform(array({side('g', 1)}), ks -> {found})[0])"))
         tried = materialize(tried, "sketches")
-        stuck = F.expr("exists(_listed, l -> l IS NULL)")
-        done.append(tried.where(~stuck).withColumns({name: F.expr("flatten(_listed.l)"), "salts": F.expr("_listed.s")}).drop("_listed"))
-        left = tried.where(stuck).drop("_listed").withColumn("b", F.col("b") * 2)
+        stuck = F.expr("exists(salts, s -> s IS NULL)")
+        done.append(tried.where(~stuck))
+        left = tried.where(stuck).drop("salts").withColumn("b", F.col("b") * 2)
         if left.isEmpty():
             return reduce(DataFrame.union, done)
 
@@ -194,8 +208,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A text's fingerprint is an invertible Bloom lookup sketch of the digests of its sentences, long ones cut by
     content: ``<digests>.<blocks>.<block>:<hash function>:<cells>...``, 14 bytes a cell in base 64, blocks without a digest left out.
     A sketch is as large as it must be to list its own digests, see ``sketches``. Likeness, the Jaccard index of the
-    two digest sets, comes from the sketches alone: their digests are listed, laid out in the blocks of the larger
-    sketch, subtracted and peeled; blocks that get stuck are split into more, see ``differences``.
+    two digest sets, comes from the sketches alone: the digests that they list are laid out in as many blocks as both
+    together need, subtracted and peeled; blocks that get stuck are split into more, see ``differences``.
 
     Null texts are empty; an empty text has an empty sketch, and two empty texts are alike (1.0). Equal texts have
     equal fingerprints. A single document is its own next. Rows with one doc_id are ordered by a hash of the text;
@@ -206,9 +220,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     listed = sketches(materialize(versions, "versions"), "a").withColumnsRenamed({"b": "ba", "salts": "sa"})
     listed = sketches(listed, "e").withColumnsRenamed({"b": "be", "salts": "se"})
     # the sketch of each document goes to the one that it is the next of
-    nexts = listed.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.col("a").alias("x"), F.col("ba").alias("bx")).dropDuplicates(["k", "h"])
-    both = listed.select("k", "h", "a", "ba", "e", "be").dropDuplicates(["k", "h"]).join(nexts, ["k", "h"])
-    tried = both.select("k", "h", *(F.expr(compared("a", other, f"greatest(ba, b{other})")).alias(f"c{other}") for other in "ex"))
+    nexts = listed.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.col("a").alias("x")).dropDuplicates(["k", "h"])
+    both = listed.select("k", "h", "a", "e").dropDuplicates(["k", "h"]).join(nexts, ["k", "h"])
+    tried = both.select("k", "h", *(F.expr(compared("a", other, blocks_for(f"(size(a) + size({other}))"))).alias(f"c{other}") for other in "ex"))
     tried = materialize(tried, "compared")
     differ = differences(tried.select("k", "h", F.lit("e").alias("kind"), "ce.*").union(tried.select("k", "h", F.lit("x"), "cx.*")))
     wide = differ.groupBy("k", "h").agg(*(F.max(F.when(F.col("kind") == x, F.col("d"))).alias(f"d{x}") for x in "ex"))

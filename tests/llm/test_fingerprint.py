@@ -76,6 +76,14 @@ def test_peeling_recovers_the_differing_digests(spark):
     assert got == [1, 2, 9]
 
 
+def test_counts_tell_what_peeling_lists(spark):
+    sets = [(i, [i * 1000 + j * j for j in range(i % 26)]) for i in range(400)]
+    rows = spark.createDataFrame(sets, "i long, ks array<long>").select("ks", F.expr(fp.listable("ks", "2")).alias("can"), F.expr(fp.peel(fp.cells("ks", "2"), "2")).alias("got")).collect()
+    assert all(r["can"] == (r["got"] is not None) for r in rows)
+    assert all(sorted(r["got"]) == sorted(r["ks"]) for r in rows if r["can"])
+    assert 100 < sum(r["can"] for r in rows) < 400
+
+
 def test_odd_rows(spark):
     rows = fp.fingerprints(odd_docs(spark)).collect()
     assert len(rows) == 9
