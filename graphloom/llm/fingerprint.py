@@ -1,20 +1,26 @@
-"""Invertible Bloom lookup sketches of documents (operator 4). DataFrame and SQL functions only."""
+"""Invertible Bloom lookup sketches of documents (operator 4): DataFrame joins, sketches in numpy.
+
+The form in SQL functions alone was beyond the limits of the check tool, see the README.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import base64
+import re
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, prepare
 
 #: Cells of a block of a sketch, in three parts.
 PART = 9
 CELLS = 3 * PART
-PEELS = 10
-#: Bits of a cell's count where a part's counts are packed into one number: at least what CELLS digests need.
-COUNT_BITS = 5
 #: Digests expected in a block of a sketch, at most.
 BLOCK = 12
 #: Hash functions that a block is tried with: two digests with the same cells get stuck, whatever the block's size.
@@ -28,81 +34,189 @@ LONG_WORD = 24
 #: Rows of ids in a range of the order of documents, about.
 RANGE_ROWS = 500_000
 
-
-def _cut(p: str) -> str:
-    """SQL for the digests of a sentence's pieces. Whether it is cut at a place depends on the atoms beside it alone."""
-    least = f"hs[i] <= hs[i - 1] AND hs[i] <= hs[i + 1] AND forall(sequence(2, {REACH}), d -> hs[i] <= hs[i - d] AND hs[i] <= hs[i + d])"
-    ends = f"concat(array(-1), filter(sequence({REACH}, size(hs) - 1 - {REACH}), i -> {least}), array(size(hs) - 1))"
-    hashed = "transform(sequence(1, size(b) - 1), j -> xxhash64(array_join(slice(ws, b[j - 1] + 2, b[j] - b[j - 1]), '')))"
-    cut = f"transform(array(transform(ws, w -> xxhash64(w))), hs -> transform(array({ends}), b -> {hashed})[0])[0]"
-    return f"transform(array(split({p}, '(?<= )|(?<=[^ ]{{{LONG_WORD}}})')), ws -> IF(size(ws) > {2 * REACH}, {cut}, array(xxhash64({p}))))[0]"
-
-
-def digests(text: str) -> str:
-    """SQL for the distinct digests of ``text``: its lines are cut at the ends of sentences, but for those whose last letter
-    is of the second half of the alphabet, and what is long after that again by its content."""
-    pieces = f"filter(split({text}, '\n|(?<=[^m-z][.!?]) '), p -> p <> '')"
-    return f"array_distinct(flatten(transform({pieces}, p -> IF(length(p) > {LONG}, {_cut('p')}, array(xxhash64(p))))))"
-
-
-def _places(k: str, salt: str) -> str:
-    return ", ".join(f"'i{j}', cast(pmod(xxhash64({k}, {salt} * 3 + {j}), {PART}) as int)" for j in range(3))
+SENTENCE = re.compile("\n|(?<=[^m-z][.!?]) ")
+ATOM = re.compile(f"(?<= )|(?<=[^ ]{{{LONG_WORD}}})")
+#: A cell as it is written: xor of digests, count, xor of check hashes.
+CELL = np.dtype([("k", ">u8"), ("c", ">i2"), ("h", ">u4")])
+
+
+def _cut(piece: str) -> list[str]:
+    """A sentence's pieces. Whether it is cut at a place depends on the atoms beside it alone."""
+    if len(piece) <= LONG:
+        return [piece]
+    atoms = [a for a in ATOM.split(piece) if a]
+    if len(atoms) <= 2 * REACH:
+        return [piece]
+    hs = np.array([zlib.crc32(a.encode()) for a in atoms], np.uint32)
+    inner = hs[REACH:-REACH]
+    least = np.ones(len(inner), bool)
+    for d in range(1, REACH + 1):
+        least &= (inner <= hs[REACH - d : len(hs) - REACH - d]) & (inner <= hs[REACH + d : len(hs) - REACH + d])
+    ends = [0, *(np.flatnonzero(least) + REACH + 1).tolist(), len(atoms)]
+    return ["".join(atoms[i:j]) for i, j in zip(ends, ends[1:]) if i < j]
+
+
+def digests(text: str, known: dict[str, list[int]] | None = None) -> np.ndarray:
+    """The distinct digests of ``text``, in order: its lines are cut at the ends of sentences, but for those whose last
+    letter is of the second half of the alphabet, and what is long after that again by its content. ``known`` keeps
+    the digests of sentences met before."""
+    known = {} if known is None else known
+    out: list[int] = []
+    for piece in SENTENCE.split(text):
+        if piece:
+            if piece not in known:
+                known[piece] = [xxhash.xxh64_intdigest(p.encode()) for p in _cut(piece)]
+            out += known[piece]
+    return np.unique(np.array(out, np.uint64))
+
+
+def mix(k: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
+    """A 64-bit hash of digests, another for every salt."""
+    x = k + (np.atleast_1d(np.asarray(salt, np.uint64)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def check(k: np.ndarray) -> np.ndarray:
+    return (mix(k, 77) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _toggle(table: np.ndarray, k: np.ndarray, block: np.ndarray, salt: np.ndarray, sign: np.ndarray) -> None:
+    """Insert digests into their blocks' cells, or delete them where the sign is negative."""
+    h, at = check(k), block * CELLS
+    for j in range(3):
+        i = at + (mix(k, salt * 3 + j) % np.uint64(PART)).astype(np.int64) + j * PART
+        np.add.at(table["c"], i, sign)
+        np.bitwise_xor.at(table["k"], i, k)
+        np.bitwise_xor.at(table["h"], i, h)
+
+
+def cells(k: np.ndarray, block: np.ndarray, salt: np.ndarray, blocks: int) -> np.ndarray:
+    """The sketch of digests dealt to blocks: count, xor of digests and xor of check hashes for each cell."""
+    table = np.zeros(blocks * CELLS, np.dtype([("k", np.uint64), ("c", np.int64), ("h", np.uint32)]))
+    _toggle(table, k, block, salt, np.ones(len(k), np.int64))
+    return table
+
+
+def subtract(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a.copy()
+    out["c"] -= b["c"]
+    out["k"] ^= b["k"]
+    out["h"] ^= b["h"]
+    return out
+
+
+def peel(table: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digests, their blocks, whether each block is peeled to the end) of a sketch with a salt for each block."""
+    table, ks, bs = table.copy(), [], []
+    at = np.arange(len(table))
+    while True:
+        at = at[np.abs(table["c"][at]) == 1]
+        at = at[check(table["k"][at]) == table["h"][at]]
+        if not len(at) or len(ks) > CELLS:  # each round takes a digest of every block that is not stuck
+            break
+        k, b, c = table["k"][at], at // CELLS, table["c"][at]
+        order = np.lexsort((k, b))
+        k, b, c = k[order], b[order], c[order]
+        first = np.r_[True, (k[1:] != k[:-1]) | (b[1:] != b[:-1])]
+        k, b, c = k[first], b[first], c[first]
+        _toggle(table, k, b, salts[b], -c)
+        ks.append(k)
+        bs.append(b)
+        at = (np.unique(b)[:, None] * CELLS + np.arange(CELLS)).ravel()
+    clean = ~((table["c"] != 0) | (table["k"] != 0) | (table["h"] != 0)).reshape(-1, CELLS).any(axis=1)
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty.astype(np.uint64), *ks]), np.concatenate([empty, *bs]), clean
 
 
-def cells(keys: str, salt: str = "0") -> str:
-    """SQL for the sketch of an array of digests: (count, xor of digests, xor of check hashes) for each cell."""
-    entries = f"transform({keys}, k -> named_struct('k', k, 'h', xxhash64(k, 77) & 4294967295L, {_places('k', salt)}))"
-    fold = "aggregate(filter(es, e -> e.i{0} = i), named_struct('c', 0L, 'k', 0L, 'h', 0L), (a, e) -> named_struct('c', a.c + 1L, 'k', a.k ^ e.k, 'h', a.h ^ e.h))"
-    parts = ", ".join(f"transform(sequence(0, {PART - 1}), i -> {fold.format(j)})" for j in range(3))
-    return f"transform(array({entries}), es -> concat({parts}))[0]"
+def blocks_for(size: np.ndarray) -> np.ndarray:
+    """Numbers of blocks of sketches of so many digests: powers of two."""
+    return 2 ** np.ceil(np.log2(np.maximum(size, BLOCK) / BLOCK)).astype(np.int64)
 
 
-def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
+def _dealt(k: np.ndarray, owner: np.ndarray, blocks: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each digest, and where each owner's blocks begin."""
+    start = np.r_[0, np.cumsum(blocks)]
+    return start[owner] + (mix(k, 1000 + salt) % blocks[owner].astype(np.uint64)).astype(np.int64), start
 
 
-def peel(difference: str, salt: str = "0") -> str:
-    """SQL for the digests that two sketches differ in, or null where peeling gets stuck."""
-    pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.c) = 1 AND x.h = (xxhash64(x.k, 77) & 4294967295L)), x -> named_struct('c', x.c, 'k', x.k, 'h', x.h, {_places('x.k', salt)})))"
-    one = "transform(slice(s.cells, {1}, {2}), (x, i) -> aggregate(filter(ps, p -> p.i{0} = i), x, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'h', a.h ^ p.h)))"
-    drop = f"concat({', '.join(one.format(j, j * PART + 1, PART) for j in range(3))})"
-    step = f"transform(array({pure}), ps -> IF(size(ps) = 0, named_struct('cells', s.cells, 'keys', s.keys, 'more', false), named_struct('cells', {drop}, 'keys', concat(s.keys, transform(ps, p -> p.k)), 'more', true)))[0]"
-    end = "IF(forall(s.cells, x -> x.c = 0 AND x.k = 0 AND x.h = 0), s.keys, cast(null as array<bigint>))"
-    return f"aggregate(sequence(1, {PEELS}), named_struct('cells', {difference}, 'keys', cast(array() as array<bigint>), 'more', true), (s, r) -> IF(s.more, {step}, s), s -> {end})"
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
 
 
-def listable(keys: str, salt: str = "0") -> str:
-    """SQL for whether peeling lists all of a block's digests.
+def sketches(sets: list[np.ndarray]) -> tuple[list[str], list[np.ndarray]]:
+    """The sketch of each set of digests, as a string, and what peeling it lists.
 
-    In the sketch of a set all counts are positive, so a cell can be peeled if and only if one digest is left in it:
-    the rounds of ``peel`` are gone through by counts alone, the counts of a part's cells packed into one number.
+    A sketch has as few blocks, a power of two, as all can be peeled with by themselves, each with the first of SALTS
+    hash functions that it can be: it lists its whole set, so it can be compared with a sketch of any size. All this
+    depends on the set alone: equal texts have equal sketches. A set whose sketch gets stuck is sketched again in
+    twice the blocks.
     """
-    bits = ", ".join(f"'c{j}', shiftleft(1L, {COUNT_BITS} * cast(pmod(xxhash64(k, {salt} * 3 + {j}), {PART}) as int))" for j in range(3))
-    sums = "aggregate(es, named_struct('c0', 0L, 'c1', 0L, 'c2', 0L), (n, e) -> named_struct('c0', n.c0 + e.c0, 'c1', n.c1 + e.c1, 'c2', n.c2 + e.c2))"
-    alone = " OR ".join(f"(n.c{j} & (e.c{j} * {2**COUNT_BITS - 1}L)) = e.c{j}" for j in range(3))
-    step = f"IF(size(es) = 0, es, transform(array({sums}), n -> filter(es, e -> NOT ({alone})))[0])"
-    return f"IF(size({keys}) > {CELLS}, false, aggregate(sequence(1, {PEELS}), transform({keys}, k -> named_struct({bits})), (es, r) -> {step}, es -> size(es) = 0))"
-
-
-def text_form(c: str) -> str:
-    """SQL for a block's cells: 14 bytes a cell (digests, count, check hashes), as hexadecimal digits."""
-    return f"array_join(transform({c}, x -> concat(lpad(hex(x.k), 16, '0'), lpad(hex(x.c), 4, '0'), lpad(hex(x.h), 8, '0'))), '')"
-
-
-def dealt(entries: str, blocks: str, salt: str = "0") -> str:
-    """SQL for the entries (x, s) of an array dealt to so many blocks: (g, es) for each block that is not empty."""
-    placed = f"transform(array({blocks}), n -> array_sort(transform({entries}, e -> named_struct('g', cast(pmod(xxhash64(e.x, 1000 + {salt}), n) as int), 'x', e.x, 's', e.s))))[0]"
-    cuts = "concat(array(0), IF(size(o) > 1, filter(sequence(1, size(o) - 1), i -> o[i].g <> o[i - 1].g), cast(array() as array<int>)), array(size(o)))"
-    slices = "transform(sequence(0, size(c) - 2), j -> named_struct('g', o[c[j]].g, 'es', slice(o, c[j] + 1, c[j + 1] - c[j])))"
-    return f"IF(size({entries}) = 0, cast(array() as array<struct<g: int, es: array<struct<g: int, x: bigint, s: int>>>>), transform(array({placed}), o -> transform(array({cuts}), c -> {slices})[0])[0])"
-
-
-def signed(keys: str, sign: int) -> str:
-    return f"transform({keys}, x -> named_struct('x', x, 's', {sign}))"
-
-
-def side(block: str, sign: int) -> str:
-    return f"transform(filter({block}.es, e -> e.s = {sign}), e -> e.x)"
+    texts, listed = [""] * len(sets), [np.zeros(0, np.uint64)] * len(sets)
+    left = np.arange(len(sets))
+    blocks = blocks_for(np.array([len(s) for s in sets]))
+    while len(left):
+        k, owner = _flat([sets[i] for i in left])
+        g, start = _dealt(k, owner, blocks[left])
+        salts = np.full(start[-1], -1)
+        table, found = cells(k[:0], g[:0], g[:0], start[-1]), []
+        for salt in range(SALTS):
+            open_ = salts < 0
+            mine = open_[g]
+            tried = np.full(start[-1], salt)
+            one = cells(k[mine], g[mine], tried[g[mine]], start[-1])
+            got, at, clean = peel(one, tried)
+            new = open_ & clean
+            salts[new] = salt
+            whole = np.repeat(new, CELLS)
+            table[whole] = one[whole]
+            found.append((got[new[at]], at[new[at]]))
+            if (salts >= 0).all():
+                break
+        got, at = (np.concatenate(x) for x in zip(*found))
+        whose = np.searchsorted(start, at, side="right") - 1
+        order = np.lexsort((got, whose))
+        got, begins = got[order], np.searchsorted(whose[order], np.arange(len(left) + 1))
+        raw, used = table.astype(CELL), np.zeros(start[-1], bool)
+        used[g] = True
+        again = []
+        for i, s in enumerate(left):
+            mine = range(start[i], start[i + 1])
+            if (salts[start[i] : start[i + 1]] < 0).any():
+                again.append(s)
+                continue
+            listed[s] = got[begins[i] : begins[i + 1]]
+            body = [f"{b - start[i]}:{salts[b]}:" + base64.b64encode(raw[b * CELLS : (b + 1) * CELLS].tobytes()).decode() for b in mine if used[b]]
+            texts[s] = f"{len(listed[s])}.{blocks[s]}." + ".".join(body)
+        left = np.array(again, np.int64)
+        blocks[left] *= 2
+    return texts, listed
+
+
+def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard index of each pair of sets that sketches list: both are laid out in as many blocks as they need
+    together, subtracted and peeled; blocks that get stuck are laid out in more, with other hash functions."""
+    na, nb = (np.array([len(s) for s in x], np.int64) for x in (a, b))
+    ka, oa = _flat(a)
+    kb, ob = _flat(b)
+    pair, blocks, salt = np.arange(len(a)), blocks_for(na + nb), 0
+    d = np.zeros(len(a), np.int64)
+    while len(pair):
+        ga, start = _dealt(ka, oa, blocks, salt)
+        gb, _ = _dealt(kb, ob, blocks, salt)
+        salts = np.full(start[-1], salt)
+        _, at, clean = peel(subtract(cells(ka, ga, salts[ga], start[-1]), cells(kb, gb, salts[gb], start[-1])), salts)
+        owner = np.repeat(np.arange(len(pair)), blocks)
+        np.add.at(d, pair[owner[at[clean[at]]]], 1)
+        stuck = np.flatnonzero(~clean)
+        name = np.full(start[-1], -1)
+        name[stuck] = np.arange(len(stuck))
+        ka, oa = ka[name[ga] >= 0], name[ga][name[ga] >= 0]
+        kb, ob = kb[name[gb] >= 0], name[gb][name[gb] >= 0]
+        size = np.bincount(oa, minlength=len(stuck)) + np.bincount(ob, minlength=len(stuck))
+        pair, blocks, salt = pair[owner[stuck]], np.maximum(2, -(-size // (BLOCK // 2))), salt + 1
+    return np.where(na + nb == 0, 1.0, (na + nb - d) / np.maximum(na + nb + d, 1))
 
 
 def previous(ids: DataFrame) -> DataFrame:
@@ -145,61 +259,19 @@ def edited_versions(docs: DataFrame) -> DataFrame:
     return both.select("k", "h", "n", F.expr("concat(left(text, cast(n - n div 3 as int)), left(head, cast(n div 3 as int)))").alias("edited"), "text", "pk", "ph")
 
 
-def blocks_for(size: str) -> str:
-    """SQL for the number of blocks of a sketch of so many digests: a power of two."""
-    return f"cast(pow(2, ceil(log2(greatest({size}, {BLOCK}) / {BLOCK}.0D))) as int)"
-
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        known: dict[str, list[int]] = {}
+        own, listed = sketches([digests(t, known) for t in rows["text"]])
+        edited, others = sketches([digests(t, known) for t in rows["edited"]])
+        out = rows.drop(columns=["text", "edited"])
+        yield out.assign(fingerprint=own, edited_fingerprint=edited, near_edited=likeness(listed, others), a=[s.view(np.int64) for s in listed])
 
-def sketches(sets: DataFrame, name: str) -> DataFrame:
-    """``sets`` with b, the number of blocks of the sketch of its digests ``name``, and ``salts``, their hash functions.
 
-    A sketch has as few blocks, a power of two, as all can be peeled with by themselves, each with the first of SALTS
-    hash functions that it can be: it lists its whole set, so it can be compared with a sketch of any size, starting
-    from what it lists. All this depends on the set alone: equal texts have equal sketches. A set whose sketch gets
-    stuck is sketched again in twice the blocks.
-    """
-    found = "cast(null as int)"
-    for salt in reversed(range(SALTS)):
-        found = f"IF({listable('ks', str(salt))}, {salt}, {found})"
-    done, left = [], sets.withColumn("b", F.expr(blocks_for(f"size({name})")))
-    while True:
-        tried = left.withColumn("salts", F.expr(f"transform({dealt(signed(name, 1), 'b')}, g -> transform(array({side('g', 1)}), ks -> {found})[0])"))
-        tried = materialize(tried, "sketches")
-        stuck = F.expr("exists(salts, s -> s IS NULL)")
-        done.append(tried.where(~stuck))
-        left = tried.where(stuck).drop("salts").withColumn("b", F.col("b") * 2)
-        if left.isEmpty():
-            return reduce(DataFrame.union, done)
-
-
-def string_form(keys: str, blocks: str, salts: str) -> str:
-    """SQL for a sketch of ``keys`` in so many blocks as a string."""
-    each = f"concat(g.g, ':', {salts}[j], ':', base64(unhex({text_form(cells(side('g', 1), f'{salts}[j]'))})))"
-    return f"concat(size({keys}), '.', {blocks}, '.', array_join(transform({dealt(signed(keys, 1), blocks)}, (g, j) -> {each}), '.'))"
-
-
-def compared(a: str, b: str, blocks: str, salt: str = "0") -> str:
-    """SQL for the digests that the sketches which list ``a`` and ``b`` differ in, laid out in so many blocks: (d,
-    stuck), the number in blocks that can be peeled, and the blocks that cannot."""
-    each = dealt(f"concat({signed(a, 1)}, {signed(b, -1)})", blocks, salt)
-    tried = f"transform({each}, g -> named_struct('d', coalesce(size({peel(subtract(cells(side('g', 1), salt), cells(side('g', -1), salt)), salt)}), -1), 'g', g))"
-    stuck = f"transform(filter(ts, t -> t.d < 0), t -> named_struct('a', {side('t.g', 1)}, 'b', {side('t.g', -1)}))"
-    return f"transform(array({tried}), ts -> named_struct('d', aggregate(ts, 0, (n, t) -> n + greatest(t.d, 0)), 'stuck', {stuck}))[0]"
-
-
-def differences(pairs: DataFrame) -> DataFrame:
-    """(k, h, kind, d) of ``pairs`` (k, h, kind, d, stuck): blocks that got stuck are split with other hashes until
-    all have peeled."""
-    done, salt = [pairs.select("k", "h", "kind", "d")], 0
-    left = pairs.where("size(stuck) > 0").select("k", "h", "kind", F.explode("stuck").alias("p"))
-    while not left.isEmpty():
-        salt += 1
-        more = f"cast(greatest(2, ceil((size(p.a) + size(p.b)) / {BLOCK // 2}.0D)) as int)"
-        tried = left.withColumn("c", F.expr(compared("p.a", "p.b", more, str(salt)))).select("k", "h", "kind", "c.d", "c.stuck")
-        tried = materialize(tried, "differences")
-        done.append(tried.select("k", "h", "kind", "d"))
-        left = tried.where("size(stuck) > 0").select("k", "h", "kind", F.explode("stuck").alias("p"))
-    return reduce(DataFrame.union, done).groupBy("k", "h", "kind").agg(F.sum("d").alias("d"))
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        a, x = ([np.asarray(s, np.int64).view(np.uint64) for s in rows[c]] for c in "ax")
+        yield rows.drop(columns=["a", "x"]).assign(near_next=likeness(a, x))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -208,33 +280,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A text's fingerprint is an invertible Bloom lookup sketch of the digests of its sentences, long ones cut by
     content: ``<digests>.<blocks>.<block>:<hash function>:<cells>...``, 14 bytes a cell in base 64, blocks without a digest left out.
     A sketch is as large as it must be to list its own digests, see ``sketches``. Likeness, the Jaccard index of the
-    two digest sets, comes from the sketches alone: the digests that they list are laid out in as many blocks as both
-    together need, subtracted and peeled; blocks that get stuck are split into more, see ``differences``.
+    two digest sets, comes from the sketches alone: the digests that peeling lists are laid out in as many blocks as
+    both together need, subtracted and peeled again, see ``likeness``.
 
     Null texts are empty; an empty text has an empty sketch, and two empty texts are alike (1.0). Equal texts have
     equal fingerprints. A single document is its own next. Rows with one doc_id are ordered by a hash of the text;
     repeated rows count as one in the order and each gives a row. A null doc_id comes last. Other columns are
-    ignored. Blocks are bounded, so a text of any length takes time in proportion.
+    ignored. Batches and blocks are bounded, so a text of any length takes time in proportion.
     """
-    versions = edited_versions(docs).select("k", "h", "n", "pk", "ph", F.sha2("edited", 256).alias("sha"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("e"))
-    listed = sketches(materialize(versions, "versions"), "a").withColumnsRenamed({"b": "ba", "salts": "sa"})
-    listed = sketches(listed, "e").withColumnsRenamed({"b": "be", "salts": "se"})
+    prepare(docs.sparkSession)
+    versions = edited_versions(docs).select("k", "h", "n", "pk", "ph", F.sha2("edited", 256).alias("sha"), "text", "edited")
+    form = "k long, h long, n long, pk long, ph long, sha string, fingerprint string, edited_fingerprint string, near_edited double, a array<long>"
+    listed = materialize(versions.mapInPandas(_sketched, form), "sketches")
     # the sketch of each document goes to the one that it is the next of
     nexts = listed.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.col("a").alias("x")).dropDuplicates(["k", "h"])
-    both = listed.select("k", "h", "a", "e").dropDuplicates(["k", "h"]).join(nexts, ["k", "h"])
-    tried = both.select("k", "h", *(F.expr(compared("a", other, blocks_for(f"(size(a) + size({other}))"))).alias(f"c{other}") for other in "ex"))
-    tried = materialize(tried, "compared")
-    differ = differences(tried.select("k", "h", F.lit("e").alias("kind"), "ce.*").union(tried.select("k", "h", F.lit("x"), "cx.*")))
-    wide = differ.groupBy("k", "h").agg(*(F.max(F.when(F.col("kind") == x, F.col("d"))).alias(f"d{x}") for x in "ex"))
-    near = both.select("k", "h", *(F.size(c).alias(f"n{c}") for c in "aex")).join(wide, ["k", "h"])
-    near = materialize(near.select("k", "h", *(F.expr(f"IF(na + n{c} = 0, 1.0D, (na + n{c} - d{c}) / (na + n{c} + d{c}))").alias(f"near_{c}") for c in "ex")), "near")
-    out = listed.join(near, ["k", "h"])
-    return out.select(
+    pairs = listed.select("k", "h", "a").dropDuplicates(["k", "h"]).join(nexts, ["k", "h"])
+    near = materialize(pairs.mapInPandas(_compared, "k long, h long, near_next double"), "near")
+    return listed.join(near, ["k", "h"]).select(
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
         F.col("n").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
-        F.expr(string_form("a", "ba", "sa")).alias("fingerprint"),
-        F.expr(string_form("e", "be", "se")).alias("edited_fingerprint"),
-        F.col("near_e").alias("near_edited"),
-        F.col("near_x").alias("near_next"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
     )

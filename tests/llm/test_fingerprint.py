@@ -3,7 +3,7 @@ import hashlib
 import re
 import struct
 
-import xxhash
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.llm import fingerprint as fp
@@ -16,16 +16,16 @@ def paragraphs(t):
     return {p for line in t.split("\n") for p in re.split(r"(?<=[^m-z][.!?]) ", line) if p}
 
 
-def xx(k, *ints):
-    h = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)
-    for i in ints:
-        h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), h)
-    return h
+def mixed(k, salt):
+    ones = (1 << 64) - 1
+    x = (k + (salt + 1) * 0x9E3779B97F4A7C15) & ones
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & ones
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & ones
+    return x ^ (x >> 31)
 
 
 def places(k, salt):
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    return [j * fp.PART + signed(xx(k, salt * 3 + j)) % fp.PART for j in range(3)]
+    return [j * fp.PART + mixed(k, salt * 3 + j) % fp.PART for j in range(3)]
 
 
 def listed(fingerprint):
@@ -37,7 +37,7 @@ def listed(fingerprint):
         raw = base64.b64decode(text)
         cells = [list(struct.unpack_from(">QHI", raw, i)) for i in range(0, len(raw), 14)]
         assert len(cells) == fp.CELLS
-        while pure := [(k, h) for k, c, h in cells if c == 1 and xx(k, 77) & 0xFFFFFFFF == h]:
+        while pure := [(k, h) for k, c, h in cells if c == 1 and mixed(k, 77) & 0xFFFFFFFF == h]:
             k, h = pure[0]
             out.add(k)
             for i in places(k, int(salt)):
@@ -70,18 +70,22 @@ def test_matches_exact_likeness(spark):
         assert abs(r["near_next"] - likeness(listed(r["fingerprint"]), listed(follower["fingerprint"]))) < 1e-12
 
 
-def test_peeling_recovers_the_differing_digests(spark):
-    row = spark.range(1).select(F.expr("array(1L, 2L, 3L, 4L, 5L)").alias("a"), F.expr("array(3L, 4L, 5L, 9L)").alias("b"))
-    got = row.select(F.sort_array(F.expr(fp.peel(fp.subtract(fp.cells("a"), fp.cells("b"))))).alias("d")).first()["d"]
-    assert got == [1, 2, 9]
+def test_peeling_recovers_the_differing_digests():
+    a, b = np.array([1, 2, 3, 4, 5], np.uint64), np.array([3, 4, 5, 9], np.uint64)
+    zero = np.zeros(5, np.int64)
+    left = fp.subtract(fp.cells(a, zero, zero, 1), fp.cells(b, zero[:4], zero[:4], 1))
+    got, _, clean = fp.peel(left, zero[:1])
+    assert sorted(got) == [1, 2, 9] and clean.all()
 
 
-def test_counts_tell_what_peeling_lists(spark):
-    sets = [(i, [i * 1000 + j * j for j in range(i % 26)]) for i in range(400)]
-    rows = spark.createDataFrame(sets, "i long, ks array<long>").select("ks", F.expr(fp.listable("ks", "2")).alias("can"), F.expr(fp.peel(fp.cells("ks", "2"), "2")).alias("got")).collect()
-    assert all(r["can"] == (r["got"] is not None) for r in rows)
-    assert all(sorted(r["got"]) == sorted(r["ks"]) for r in rows if r["can"])
-    assert 100 < sum(r["can"] for r in rows) < 400
+def test_likeness_of_random_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 3 * n + 1, n).astype(np.uint64)) for n in [*range(60), 500, 3000]]
+    others = [np.unique(rng.integers(0, 3 * n + 1, n).astype(np.uint64)) for n in [*range(60), 600, 10]]
+    texts, got = fp.sketches(sets)
+    for s, t, g in zip(sets, texts, got):
+        assert g.tolist() == s.tolist() and listed(t) == set(s.tolist())
+    assert np.allclose(fp.likeness(got, others), [likeness(set(s.tolist()), set(o.tolist())) for s, o in zip(sets, others)])
 
 
 def test_odd_rows(spark):
@@ -109,7 +113,13 @@ def test_order_with_null_and_outlying_ids(spark):
 
 
 def test_long_texts_and_sketches_that_get_stuck(spark, monkeypatch):
-    monkeypatch.setattr(fp, "BLOCK", 48)  # crowded blocks: many must be sketched again
+    # more than a block can hold: many must be sketched again
+    texts = ["\n".join(f"line {j} of {i}" for j in range(700)) for i in range(3)]
+    sets = [fp.digests(t) for t in texts]
+    with monkeypatch.context() as m:
+        m.setattr(fp, "BLOCK", 48)
+        crowded, _ = fp.sketches(sets)
+    assert [listed(c) for c in crowded] == [set(s.tolist()) for s in sets]
     texts = {i: "\n".join(f"line {j} of {i % 2}" for j in range(n)) for i, n in enumerate((3000, 2990, 400, 30, 24, 26, 1))}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = {r["doc_id"]: r for r in fp.fingerprints(docs).collect()}
