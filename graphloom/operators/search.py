@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,8 +59,9 @@ def filtered(nodes: DataFrame, kinds=(), languages=()) -> DataFrame:
     return nodes
 
 
-def inverted_index(nodes: DataFrame) -> DataFrame:
-    """(id, term, f, len): weighted term frequencies and the number of tokens of each node."""
+def inverted_index(nodes: DataFrame, terms: list[str] = ()) -> DataFrame:
+    """(id, term, f, len): weighted term frequencies and the number of tokens of each node; with ``terms``, only of
+    tokens that one of them begins, and the others never leave their row."""
     toks = {c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN), lambda x: x != "") for c in WEIGHTS}
     size = sum((F.size(t) for t in toks.values()), F.lit(0))
 
@@ -66,12 +69,14 @@ def inverted_index(nodes: DataFrame) -> DataFrame:
         return F.transform(tokens, lambda x: F.struct(x.alias("term"), F.lit(w).alias("w")))
 
     entries = F.concat(*(weighted(t, WEIGHTS[c]) for c, t in toks.items()))
+    if terms:
+        entries = F.filter(entries, lambda e: reduce(or_, [e["term"].startswith(t) for t in terms]))
     return nodes.select("id", size.alias("len"), F.explode(entries).alias("e")).groupBy("id", "len", F.col("e.term").alias("term")).agg(F.sum("e.w").alias("f"))
 
 
 def full_text(nodes: DataFrame, terms: list[str], k: int = 50) -> DataFrame:
     """(id, score): BM25 over name and qualified name; a term matches every token that it begins."""
-    index = inverted_index(nodes)
+    index = inverted_index(nodes, terms)
     lens = nodes.select(sum((F.size(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), TOKEN), lambda x: x != "")) for c in WEIGHTS), F.lit(0)).alias("len"))
     stats = F.broadcast(lens.agg(F.count("*").alias("n"), F.avg("len").alias("avg")))  # one row
     wanted = F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.col("term").startswith(t))

@@ -476,7 +476,8 @@ def search_cascade(spark, sf):
 
 def _refs(spark, sf) -> DataFrame:
     """A reference from each order's method: to a part's qualified name, to the order's class, or to a part's name in capitals."""
-    o = _read(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 2000).alias("k"), "o_orderpriority")
+    parts = _read(spark, sf, "part").count()  # every part is meant by some order
+    o = _read(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % parts).alias("k"), "o_orderpriority")
     n = _n(spark, sf)
     parts = n.where("kind = 'function'").select(F.col("start_line").cast("bigint").alias("k"), "name", "qualified_name")
     owner = n.where("kind = 'method'").select(F.col("start_line").cast("bigint").alias("o_orderkey"), F.substring_index("qualified_name", "::", 1).alias("owner"))
@@ -486,12 +487,12 @@ def _refs(spark, sf) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("id"), "from_node_id", name.alias("reference_name"), F.lit("calls").alias("reference_kind"), "line", "file_path", "language")
 
 
-_REFS = ", refs AS (SELECT o_orderkey AS ref_id, CASE o_orderkey % 3 WHEN 0 THEN p.qualified_name WHEN 1 THEN split_part(m.qualified_name, '::', 1) ELSE upper(p.name) END AS r_name, m.file_path AS r_file, m.language AS r_language FROM orders JOIN nodes p ON p.kind = 'function' AND p.start_line = o_orderkey % 2000 JOIN nodes m ON m.id = 'method:o' || o_orderkey)"
+_REFS = ", refs AS (SELECT o_orderkey AS ref_id, CASE o_orderkey % 3 WHEN 0 THEN p.qualified_name WHEN 1 THEN split_part(m.qualified_name, '::', 1) ELSE upper(p.name) END AS r_name, m.file_path AS r_file, m.language AS r_language FROM orders JOIN nodes p ON p.kind = 'function' AND p.start_line = o_orderkey % (SELECT count(*) FROM part) JOIN nodes m ON m.id = 'method:o' || o_orderkey)"
 
 
 @query(_REFS + ", c AS (SELECT ref_id, n.id, n.language = r_language AS same, count(*) OVER (PARTITION BY ref_id) AS c, row_number() OVER (PARTITION BY ref_id ORDER BY CASE WHEN n.language = r_language THEN 50 ELSE -80 END + 25 + CASE WHEN n.is_exported THEN 10 ELSE 0 END DESC, n.id) AS rn FROM refs JOIN nodes n ON n.name = r_name) SELECT ref_id, id AS target, CASE WHEN same THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM c WHERE c = 1")
 def resolve_exact(spark, sf):
-    return V.by_exact_name(_refs(spark, sf), _n(spark, sf)).where("confidence IN (0.9, 0.5)").select("ref_id", "target", "confidence")
+    return V.by_exact_name(_refs(spark, sf), _n(spark, sf)).select("ref_id", "target", "confidence")
 
 
 @query(_REFS + ", q AS (SELECT ref_id, r_name FROM refs WHERE contains(r_name, '::')), e AS (SELECT ref_id, id, count(*) OVER (PARTITION BY ref_id) AS c FROM q JOIN nodes n ON n.qualified_name = r_name), x AS (SELECT ref_id, id, 0.95 AS k FROM e WHERE c = 1 UNION ALL SELECT ref_id, n.id, 0.85 FROM q JOIN nodes n ON n.name = split_part(r_name, '::', 2) AND ends_with(n.qualified_name, r_name)), y AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY k DESC, id) AS rn FROM x) SELECT ref_id, id AS target, k::DOUBLE AS confidence FROM y WHERE rn = 1")
