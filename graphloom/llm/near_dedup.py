@@ -19,6 +19,8 @@ K = 64
 LEAST_SHARED = 26
 #: Estimated likeness below which a candidate is dropped: more than five deviations under the threshold.
 LEAST_ESTIMATE = 0.45
+#: Rounds that link what is open to one member of each list, before all pairs that are still open are made.
+ROUNDS = 3
 SIGN = np.uint64(1 << 63)
 
 
@@ -87,8 +89,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = K, n: int = 5)
        thus no list of its own unless it makes up most of a document.
     3. Each list compares its members with its hub, and these links are contracted. Classes of lists that still
        hold different components are listed anew by their full sets, under the rarest quarter of the shingles, which
-       leaves out common passages exactly; these lists compare across components. Pairs inside a component are
-       never made.
+       leaves out common passages exactly. Entries that by their list's sizes can be of no pair go; rounds of
+       comparing with one member of each list's largest component contract the others; what is still open is
+       compared across components. Pairs inside a component are never made.
     4. Candidates must have sizes and union-sketch estimates that allow the threshold; then the full sets are
        intersected. Links are contracted to components; ``kept`` marks the smallest id of each.
 
@@ -139,20 +142,61 @@ def _links(base: DataFrame, classes: DataFrame, percent: int, k: int, n: int) ->
     full = deep.join(counts, "v").groupBy("cls", "n", "label").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("l"))
     keep = F.size("l") - F.ceil(F.col("n") * percent / 100.0) + 1
     full = full.withColumn("keep", keep.cast("int")).where("keep > 0").select("cls", "n", F.size("l").alias("m"), "label", F.posexplode(F.slice("l", 1, F.least("keep", F.size("l")))).alias("at", "e")).select("e.v", "cls", "n", (F.col("m") - F.col("at")).alias("m"), "label")
-    bits = rest.join(sets, "cls").select("cls", F.expr(_BITS).alias("bits")).select("cls", *(F.col("bits")[i].alias(f"x{i}") for i in range(16)))
-    full = materialize(_open(materialize(full, "full_lists")).join(bits, "cls"), "open")
+    full = materialize(_bounded(materialize(full, "full_lists"), percent), "bounded")
+    some = materialize(full.select("cls").distinct(), "some")
+    cand = materialize(cand.join(some, "cls", "left_semi"), "some_candidates")
+    sets = materialize(sets.join(some, "cls", "left_semi"), "some_sets")
+    bits = sets.select("cls", F.expr(_BITS).alias("bits")).select("cls", *(F.col("bits")[i].alias(f"x{i}") for i in range(16)))
+    full = materialize(full.join(bits, "cls"), "open")
+    # members of each list that are not of its most frequent component are compared with one that is, another each
+    # round, so that a large group of variants is one component before its pairs are made
+    found = first
+    full = _ranked(full)
+    for salt in range(ROUNDS):
+        # first the one with the most left in common with others, then any
+        rank = F.xxhash64("cls", "v", F.lit(salt)) if salt else F.struct(F.col("m") - F.col("n"), "m", "cls")
+        hub = full.where("label = most").groupBy("v").agg(F.max_by(F.struct(*(x for x in full.columns if x not in ("v", "most"))), rank).alias("h")).select("v", "h.*")
+        links = materialize(_verify(_pairs(full.where("label <> most").drop("most"), materialize(hub, "hubs"), percent), cand, sets, percent, k), "links")
+        if links.isEmpty():
+            break
+        found = found.union(links)
+        names = full.select("cls", "label").distinct()
+        joined = links.join(names.toDF("a", "la"), "a").join(names.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        label = materialize(connected_components(joined).toDF("label", "to"), "labels")
+        full = full.drop("most").join(label, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        full = _ranked(materialize(_bounded(materialize(full, "relabelled"), percent), "open"))
+    # of two entries with different labels one at least is not of the list's most frequent label
+    minor = materialize(full.where("label <> most").drop("most"), "minor")
+    return found.union(_verify(_pairs(minor, full.drop("most"), percent), cand, sets, percent, k))
+
+
+def _ranked(lists: DataFrame) -> DataFrame:
+    """The entries of the lists with the list's most frequent component, ``most``."""
+    major = lists.groupBy("v", "label").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "label")).alias("m")).select("v", F.col("m.label").alias("most"))
+    return lists.join(materialize(major, "major"), "v")
+
+
+def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of entries of one list that are of different components and whose bounds allow the threshold."""
+    side = lambda df, c: df.toDF(*("v" if x == "v" else f"{x}{c}" for x in df.columns))
     # two sets share at most what either has left in its list (shingles that some other set has, rarest first) from
-    # the first entry in common on: m of n
-    side = lambda c: full.toDF(*("v" if x == "v" else f"{x}{c}" for x in full.columns))
-    # and at most what the bits that only one of them has leave
+    # the first entry in common on: m of n; and at most what the bits that only one of them has leave
     only = " + ".join("bit_count(x{0}{{0}} & ~x{0}{{1}})".format(i) for i in range(16))
-    left = f"least(na - ({only.format('a', 'b')}), nb - ({only.format('b', 'a')}))"
-    possible = " AND ".join(f"100 * ({most}) >= {percent} * (na + nb - {most})" for most in ("least(ma, mb)", left))
-    # of two entries with different labels one at least is not of the list's most frequent label
-    major = full.groupBy("v", "label").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "label")).alias("m")).select("v", F.col("m.label").alias("most"))
-    minor = materialize(side("a").join(materialize(major, "major"), "v").where("labela <> most").drop("most"), "minor")
-    cross = minor.join(side("b"), "v").where("labela <> labelb").where(possible).select(F.least("clsa", "clsb").alias("a"), F.greatest("clsa", "clsb").alias("b")).distinct()
-    return first.union(_verify(cross, cand, sets, percent, k))
+    rest = f"least(na - ({only.format('a', 'b')}), nb - ({only.format('b', 'a')}))"
+    both = side(left, "a").join(side(right, "b"), "v").where("labela <> labelb")
+    for most in ("least(ma, mb)", rest):
+        both = both.where(f"100 * ({most}) >= {percent} * (na + nb - {most})")
+    return both.select(F.least("clsa", "clsb").alias("a"), F.greatest("clsa", "clsb").alias("b")).distinct()
+
+
+def _bounded(lists: DataFrame, percent: int) -> DataFrame:
+    """The entries of the lists (v, cls, n, m, label, ...) that hold more than one component, without those that no
+    pair needs: with what is left in both lists a set of m must reach the threshold beside the list's smallest set."""
+    spans = lists.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("smallest"), F.max("m").alias("longest")).where("lo <> hi").drop("lo", "hi")
+    joined = lists.join(materialize(spans, "spans"), "v")
+    # 100 * m >= percent * (n + other - m), where the other set has percent of n, and the smallest's size, at least
+    enough = f"100L * (100 + {percent}) * least(m, longest) >= {percent} * (100L * n + greatest(100L * smallest, {percent}L * n))"
+    return joined.where(enough).drop("smallest", "longest")
 
 
 def _open(lists: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+from graphloom.llm import near_dedup
 from graphloom.llm.near_dedup import near_duplicates
 
 SCHEMA = "doc_id long, text string, n string, v string"
@@ -57,5 +58,18 @@ def test_chain_of_near_copies(spark):
     assert got == brute(rows) and {r[2] for r in got} == {31}
 
 
+def test_large_group_of_variants_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(500):
+        p = rnd.random() * 0.08
+        rows.append((i, " ".join(f"x{rnd.randrange(10**9)}" if rnd.random() < p else w for w in base)))
+    verify, made = near_dedup._verify, []
+    monkeypatch.setattr(near_dedup, "_verify", lambda pairs, *rest: made.append(pairs.count()) or verify(pairs, *rest))
+    assert found(spark, rows) == brute(rows)
+    assert sum(made[1:]) < 10  # beside the hubs of sketch lists; 63 when all open pairs were made at once
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
