@@ -259,19 +259,20 @@ def edited_versions(docs: DataFrame) -> DataFrame:
     return both.select("k", "h", "n", F.expr("concat(left(text, cast(n - n div 3 as int)), left(head, cast(n div 3 as int)))").alias("edited"), "text", "pk", "ph")
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         known: dict[str, list[int]] = {}
-        own, listed = sketches([digests(t, known) for t in rows["text"]])
-        edited, others = sketches([digests(t, known) for t in rows["edited"]])
-        out = rows.drop(columns=["text", "edited"])
-        yield out.assign(fingerprint=own, edited_fingerprint=edited, near_edited=likeness(listed, others), a=[s.view(np.int64) for s in listed])
+        own, edited = ([digests(t, known).view(np.int64) for t in rows[c]] for c in ("text", "edited"))
+        yield rows.drop(columns=["text", "edited"]).assign(a=own, e=edited)
 
 
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        a, x = ([np.asarray(s, np.int64).view(np.uint64) for s in rows[c]] for c in "ax")
-        yield rows.drop(columns=["a", "x"]).assign(near_next=likeness(a, x))
+        sets = {c: [np.asarray(s, np.int64).view(np.uint64) for s in rows[c]] for c in "aex"}
+        own, listed = sketches(sets["a"])
+        edited, others = sketches(sets["e"])
+        _, nexts = sketches(sets["x"])
+        yield rows.drop(columns=["a", "e", "x"]).assign(fingerprint=own, edited_fingerprint=edited, near_edited=likeness(listed, others), near_next=likeness(listed, nexts))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -290,13 +291,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     versions = edited_versions(docs).select("k", "h", "n", "pk", "ph", F.sha2("edited", 256).alias("sha"), "text", "edited")
-    form = "k long, h long, n long, pk long, ph long, sha string, fingerprint string, edited_fingerprint string, near_edited double, a array<long>"
-    listed = materialize(versions.mapInPandas(_sketched, form), "sketches")
-    # the sketch of each document goes to the one that it is the next of
-    nexts = listed.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.col("a").alias("x")).dropDuplicates(["k", "h"])
-    pairs = listed.select("k", "h", "a").dropDuplicates(["k", "h"]).join(nexts, ["k", "h"])
-    near = materialize(pairs.mapInPandas(_compared, "k long, h long, near_next double"), "near")
-    return listed.join(near, ["k", "h"]).select(
+    sets = materialize(versions.mapInPandas(_digested, "k long, h long, n long, pk long, ph long, sha string, a array<long>, e array<long>"), "digests")
+    # the digests of each document go to the one that it is the next of; strings, several times their size, are made
+    # after the last shuffle
+    nexts = sets.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.col("a").alias("x")).dropDuplicates(["k", "h"])
+    both = sets.join(nexts, ["k", "h"]).select("k", "n", "sha", "a", "e", "x")
+    out = both.mapInPandas(_sketched, "k long, n long, sha string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.select(
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
         F.col("n").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),

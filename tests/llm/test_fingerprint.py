@@ -139,3 +139,10 @@ def test_unchanged_parts_are_alike_in_lines_of_any_length(spark):
         docs = spark.createDataFrame([(2, text), (1, other)], "doc_id long, text string")
         row = fp.fingerprints(docs).where("doc_id = 2").first()
         assert row["near_edited"] > 0.3 and row["near_next"] == 0.0
+
+
+def test_strings_are_made_after_the_last_table_is_written(spark, monkeypatch):
+    written, write = [], fp.materialize
+    monkeypatch.setattr(fp, "materialize", lambda df, name: written.extend(df.columns) or write(df, name))
+    assert fp.fingerprints(odd_docs(spark)).count() == 9
+    assert written and not {"fingerprint", "edited_fingerprint"} & set(written)
