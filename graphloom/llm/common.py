@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch: bounds the memory of a Python worker, whatever the length of the texts.
 BATCH_ROWS = 256
-#: Bytes in one Arrow batch.
-BATCH_BYTES = 8 << 20
+#: Bytes in one Arrow batch: it lies several times outside the heap, whose share of an executor is all but used up.
+BATCH_BYTES = 2 << 20
 
 _shipped: set[str] = set()
 

@@ -153,7 +153,7 @@ def _languages(model: dict, column: pa.Array, lettered: pa.Array) -> tuple[np.nd
     """(index of the language, -1 for none; its score) of each text."""
     langs, net = model["langs"], model.get("net")
     pred, score = np.full(len(column), -1), np.zeros(len(column))
-    for first, last, data, offsets in text_slices(column, 2 << 20) if langs else ():
+    for first, last, data, offsets in text_slices(column) if langs else ():
         x, text = windows(data, offsets)
         total = np.zeros((last - first, len(langs)))
         weight = np.zeros(last - first)

@@ -63,7 +63,7 @@ def _sets(n: int):
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 parts.append(own)
                 total += len(own)
-                if total > 1 << 20:
+                if total > 1 << 18:
                     yield pa.RecordBatch.from_arrays([ids.slice(done, len(parts)), pa.array(digests, pa.binary()), _lists(parts)], ["doc_id", "cls", "items"])
                     done, digests, parts, total = done + len(parts), [], [], 0
             yield pa.RecordBatch.from_arrays([ids.slice(done, len(parts)), pa.array(digests, pa.binary()), _lists(parts)], ["doc_id", "cls", "items"])

@@ -18,7 +18,8 @@ BYTE[65:91] = BYTE[97:123]
 BYTE[SPACE] = 0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
-SLICE = 4 << 20
+#: Bytes of text that are worked on at a time: some ten temporary numbers stand for each.
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

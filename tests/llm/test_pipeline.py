@@ -1,9 +1,13 @@
 import random
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 import corpus_pipeline
+from graphloom.llm import common, near_dedup, toxicity
 
 
 def test_each_stage_removes_its_own(spark, tmp_path):
@@ -37,3 +41,16 @@ def test_each_stage_removes_its_own(spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert {r["doc_id"]: r["ids"] for r in rows} == {i: sp.encode(t) for i, t in clean.items()} and all(r["same"] for r in rows)
+
+
+def test_a_worker_holds_little_beside_its_batch():
+    """An executor's heap leaves little room: temporary numbers are made for some of a batch's texts at a time."""
+    texts = pa.array(["some words of a text that is like others, " * 100] * 2000)  # 8 MB
+    assert texts.nbytes > 8e6 and common.BATCH_BYTES <= 2 << 20
+    tables = toxicity.voter_tables(np.array([1], np.int64), np.array([2], np.int64))
+    for work in (lambda: [x for x in toxicity.votes(tables, texts)], lambda: [len(x) for x in near_dedup.shingle_sets(texts, 5)]):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100e6
