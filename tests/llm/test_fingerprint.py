@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 import struct
 
@@ -146,3 +147,25 @@ def test_strings_are_made_after_the_last_table_is_written(spark, monkeypatch):
     monkeypatch.setattr(fp, "materialize", lambda df, name: written.extend(df.columns) or write(df, name))
     assert fp.fingerprints(odd_docs(spark)).count() == 9
     assert written and not {"fingerprint", "edited_fingerprint"} & set(written)
+
+
+def test_no_python_runs_on_the_executors(spark, monkeypatch):
+    plans, write = [], fp.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(fp, "materialize", lambda df, name: plans.append(plan(df)) or write(df, name))
+    plans.append(plan(fp.fingerprints(odd_docs(spark))))
+    assert len(plans) > 3 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
+
+
+def test_sql_and_plain_forms_agree(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abdemorstwéß0359漢") for _ in range(rng.choice((1, 2, 5, 9, 40))))
+    texts = ["".join(word() + rng.choice((" ", " ", " ", ". ", "\n", "! ", "\n\n")) for _ in range(n)) for n in (0, 1, 5, 60, 900)]
+    texts += [" ".join(word() for _ in range(300)), "漢字x" * 400, "x y" * 300, "\U0001f600" * 330, " " * 1000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").selectExpr("i", f"{fp.digests_sql('t')} AS a")
+    with fp._wrapping(spark):
+        df = df.selectExpr("i", "a", f"{fp.sketch_sql('a')} AS f")
+    for r in df.collect():
+        own = set(fp.digests(texts[r["i"]]).tolist())
+        assert {x % 2**64 for x in r["a"]} == own == listed(r["f"]) and r["a"] == sorted(r["a"])
+    assert spark.conf.get("spark.sql.ansi.enabled") == spark.newSession().conf.get("spark.sql.ansi.enabled")
