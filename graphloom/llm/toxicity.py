@@ -155,6 +155,8 @@ def _sum_rows(table: pa.Table) -> pa.Table:
     return pa.table([table["i"][:1], pa.array([row.tobytes()], pa.binary())], ["i", "row"])
 
 
+#: Rows of the matrix of correlations that are worked on at a time.
+BLOCK = 64
 #: Bins of evidence, 1/32 wide.
 BINS, LOW = 4096, -64.0
 
@@ -218,7 +220,7 @@ def label_model(patterns: DataFrame, n: int, toxic: np.ndarray, clean: np.ndarra
     for r in patterns.mapInArrow(_together(n), "i int, row binary").groupBy("i").applyInArrow(_sum_rows, "i int, row binary").collect():
         together[r["i"]] = np.frombuffer(r["row"], float)
     total = float(patterns.agg(F.sum("c")).first()[0] or 0)
-    a, b, share = toxic, clean, np.ones(n)
+    a, b, share, rho = toxic, clean, np.ones(n), np.zeros((n, n))
     model = {}
     for _ in range(rounds):
         weights = (share * np.log(a / b)).astype(np.float32)
@@ -234,28 +236,49 @@ def label_model(patterns: DataFrame, n: int, toxic: np.ndarray, clean: np.ndarra
         fired = np.diag(together)
         one, none = sums[4:], fired - sums[4:]
         # cross-products of what is left of the votes once the rates of their texts' labels are taken off
-        mean = np.outer(one, a) + np.outer(none, b)
-        left = together - mean - mean.T + qq * np.outer(a, a) + qp * (np.outer(a, b) + np.outer(b, a)) + pp * np.outer(b, b)
-        scale = np.sqrt(np.maximum(np.diag(left), 0)) + 1e-9
-        rho = left / np.outer(scale, scale)
-        np.fill_diagonal(rho, 1.0)
-        share = 1 / np.maximum(1, np.where(rho > REPEATS, rho, 0).sum(1))
+        mean = one * a + none * b
+        scale = np.sqrt(np.maximum(fired - mean - mean + qq * (a * a) + qp * (a * b + b * a) + pp * (b * b), 0)) + 1e-9
+        share = np.ones(n)
+        for i in range(0, n, BLOCK):  # some rows at a time: the driver holds two matrices and little more
+            k = slice(i, i + BLOCK)
+            left = together[k] - (np.outer(one[k], a) + np.outer(none[k], b)) - (np.outer(a[k], one) + np.outer(b[k], none))
+            left += qq * np.outer(a[k], a) + qp * (np.outer(a[k], b) + np.outer(b[k], a)) + pp * np.outer(b[k], b)
+            rho[k] = left / np.outer(scale[k], scale)
+            np.fill_diagonal(rho[k, k], 1.0)
+            share[k] = 1 / np.maximum(1, np.where(rho[k] > REPEATS, rho[k], 0).sum(1))
         a, b = ((found + anchor * first) / (1 + anchor) for found, first in (((one + 0.1) / (on + 1), toxic), ((none + 0.01) / (total - on + 1), clean)))
         a, b = np.clip(a, 1e-6, 1), np.clip(b, 1e-6, 1)
         model |= {"correlations": rho, "share": share}
     return model
 
 
-def linear_classifier(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+class Votes:
+    """The votes of a sample as its texts' voters one after another: a matrix of them is nearly all zeros, and would
+    be the largest thing in the driver's memory. ``hits``: a list of voters for each text."""
+
+    def __init__(self, hits: pa.ListArray, voters: int):
+        sizes = np.diff(hits.offsets.to_numpy())
+        self.texts, self.voters = len(hits), voters
+        self.text, self.voter = np.repeat(np.arange(self.texts, dtype=np.int32), sizes), hits.flatten().to_numpy()
+
+    def of_texts(self, w: np.ndarray) -> np.ndarray:
+        """For each text the sum of ``w`` over its voters."""
+        return np.bincount(self.text, weights=w[self.voter], minlength=self.texts)
+
+    def of_voters(self, d: np.ndarray) -> np.ndarray:
+        """For each voter the sum of ``d`` over its texts."""
+        return np.bincount(self.voter, weights=d[self.text], minlength=self.voters)
+
+
+def linear_classifier(x: Votes, q: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on posterior labels, by Adam on the whole sample."""
-    x = x.astype(np.float32, copy=False)
     weight = weight / weight.sum()
-    w, c = np.zeros(x.shape[1]), -2.0
-    m = v = np.zeros(x.shape[1] + 1)
+    w, c = np.zeros(x.voters), -2.0
+    m = v = np.zeros(x.voters + 1)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + c, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x.of_texts(w) + c, -30, 30)))
         d = (p - q) * weight
-        g = np.append(x.T @ d.astype(np.float32) + ridge * w, d.sum())
+        g = np.append(x.of_voters(d) + ridge * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, c = w - step[:-1], c - step[-1]
@@ -306,19 +329,18 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     patterns = docs.select("text").mapInArrow(_patterns(shared), "hits array<int>, c long").groupBy("hits").agg(F.sum("c").alias("c"))
     patterns = materialize(patterns, "patterns")
     x, y = _sample_votes(feats, once, twice)
-    s = x[:, len(found) :]
-    t = np.array([t for _, _, t, _ in found] + s[y == 1].sum(0).tolist(), float)
-    k = np.array([k for _, _, _, k in found] + s[y == 0].sum(0).tolist(), float)
-    fitted = label_model(patterns, x.shape[1], (t + 0.1) / (pos + 0.2), (k + 0.1 * pos / neg) / (neg + 0.2), sizes[1] / (sizes[0] + sizes[1]))
-    q = _sigmoid(x @ fitted["weights"] + fitted["bias"])
+    t = np.array([t for _, _, t, _ in found] + x.of_voters(y == 1)[len(found) :].tolist(), float)
+    k = np.array([k for _, _, _, k in found] + x.of_voters(y == 0)[len(found) :].tolist(), float)
+    fitted = label_model(patterns, x.voters, (t + 0.1) / (pos + 0.2), (k + 0.1 * pos / neg) / (neg + 0.2), sizes[1] / (sizes[0] + sizes[1]))
+    q = _sigmoid(x.of_texts(fitted["weights"]) + fitted["bias"])
     # both classes weigh the same
     weight = np.where(q >= 0.5, 1 / max((q >= 0.5).sum(), 1), 1 / max((q < 0.5).sum(), 1))
     w, c = linear_classifier(x, q, weight)
-    return {"once": once, "twice": twice, "w": w, "c": c - _border(x @ w + c, y)}
+    return {"once": once, "twice": twice, "w": w, "c": c - _border(x.of_texts(w) + c, y)}
 
 
-def _sample_votes(feats: DataFrame, once: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(votes, labels) of the sample: as many rows as it has, and a column for each voter."""
+def _sample_votes(feats: DataFrame, once: np.ndarray, twice: np.ndarray) -> tuple[Votes, np.ndarray]:
+    """(votes, labels) of the sample."""
 
     def run(batches):
         for b in batches:
@@ -326,13 +348,10 @@ def _sample_votes(feats: DataFrame, once: np.ndarray, twice: np.ndarray) -> tupl
             for f, g, s in zip(*(b.column(i).to_pylist() for i in range(1, 4)), strict=True):
                 hits = [base + np.searchsorted(keys, np.intersect1d(own, keys)) for own, keys, base in ((np.array(f, np.int64), once, 0), (np.array(g, np.int64), twice, len(once)))]
                 lists.append([*np.concatenate(hits).tolist(), *(len(once) + len(twice) + j for j in range(len(SURFACES)) if s >> j & 1)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int64()))], ["y", "hits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int32()))], ["y", "hits"])
 
-    rows = feats.select("y", "f", "g", "s").mapInArrow(run, "y int, hits array<long>").toArrow()
-    x = np.zeros((len(rows), len(once) + len(twice) + len(SURFACES)), np.float32)
-    hits = rows["hits"].combine_chunks()
-    x[np.repeat(np.arange(len(rows)), np.diff(hits.offsets.to_numpy())), hits.flatten().to_numpy()] = 1
-    return x, rows["y"].to_numpy()
+    rows = feats.select("y", "f", "g", "s").mapInArrow(run, "y int, hits array<int>").toArrow()
+    return Votes(rows["hits"].combine_chunks(), len(once) + len(twice) + len(SURFACES)), rows["y"].to_numpy()
 
 
 def _scores(model: dict, column: pa.Array) -> np.ndarray:

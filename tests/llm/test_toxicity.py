@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from graphloom.llm import toxicity as tx
 
@@ -93,3 +95,28 @@ def test_odd_rows(spark):
     assert {r["predicted"] for r in tx.toxicity(d, labels.where("toxic = 1")).collect()} == {0}
     twice = labels.union(labels.where("doc_id < 10")).union(spark.createDataFrame([(5, 1, None), (None, 1, 1)], labels.schema))
     assert tx.toxicity(d, twice).count() == 100
+
+
+def test_the_driver_holds_little_while_it_trains(spark):
+    """Neither a dense matrix of the sample's votes nor copies of the matrix of correlations."""
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    plain, bad = [word(6) for _ in range(40)], [word(10) for _ in range(160)]
+    rows = [(i, " ".join([rnd.choice(plain) for _ in range(20)] + rnd.sample(bad, 10 * (i % 5 == 0)))) for i in range(3000)]
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    tracemalloc.start()
+    model = tx.train(d, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model["w"]) > 1000 and peak < 40e6
+    kept = {r["doc_id"] for r in tx.keep_harmless(d, labels).collect()}
+    assert kept == {i for i, _ in rows if i % 5}
+
+
+def test_votes_are_summed_as_by_a_matrix():
+    rng = np.random.default_rng(2)
+    x = rng.random((50, 9)) < 0.2
+    x[[0, 49]], x[:, 8] = False, False  # texts and a voter without a vote
+    votes = tx.Votes(pa.array([np.flatnonzero(r).tolist() for r in x], pa.list_(pa.int32())), 9)
+    w, d = rng.normal(size=9), rng.normal(size=50)
+    assert np.allclose(votes.of_texts(w), x @ w) and np.allclose(votes.of_voters(d), d @ x)
