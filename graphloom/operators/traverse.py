@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,8 +24,7 @@ def adjacency(edges: DataFrame, direction: str = "outgoing", kinds: Iterable[str
     return {"outgoing": out, "incoming": back, "both": out.union(back)}[direction]
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
@@ -32,9 +32,21 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
             root = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(root)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As a checkpoint, but in columns and compressed: for tables as large as the input."""
+    folder = f"{_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def reach(spark: SparkSession, adj: DataFrame, start: list[str], depth: int | None = None) -> DataFrame:
     """(id, depth): every node within ``depth`` steps of the start, with its least depth.
 

@@ -17,6 +17,7 @@ from ..streaming.watch import debounced
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+_held: dict = {}
 
 
 def query(sql: str | None = None, view: bool = True, recursive: bool = False):
@@ -475,14 +476,22 @@ def search_cascade(spark, sf):
 
 
 def _refs(spark, sf) -> DataFrame:
-    """A reference from each order's method: to a part's qualified name, to the order's class, or to a part's name in capitals."""
+    """A reference from each order's method: to a part's qualified name, to the order's class, or to a part's name in capitals.
+
+    Written once a session, since every strategy reads it more than once and long plans are slow to optimize."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _held:
+        _held[key] = G.written(_built_refs(spark, sf))
+    return _held[key]
+
+
+def _built_refs(spark, sf) -> DataFrame:
     parts = _read(spark, sf, "part").count()  # every part is meant by some order
-    o = _read(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % parts).alias("k"), "o_orderpriority")
+    o = _read(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % parts).alias("k"))
     n = _n(spark, sf)
     parts = n.where("kind = 'function'").select(F.col("start_line").cast("bigint").alias("k"), "name", "qualified_name")
-    owner = n.where("kind = 'method'").select(F.col("start_line").cast("bigint").alias("o_orderkey"), F.substring_index("qualified_name", "::", 1).alias("owner"))
-    m = n.where("kind = 'method'").select(F.col("id").alias("from_node_id"), "file_path", "language", F.col("start_line").alias("line"), F.col("start_line").cast("bigint").alias("o_orderkey"))
-    rows = o.join(parts, "k").join(m, "o_orderkey").join(owner, "o_orderkey")
+    m = n.where("kind = 'method'").select(F.col("id").alias("from_node_id"), "file_path", "language", F.col("start_line").alias("line"), F.col("start_line").cast("bigint").alias("o_orderkey"), F.substring_index("qualified_name", "::", 1).alias("owner"))
+    rows = o.join(parts, "k").join(m, "o_orderkey")
     name = F.when(F.col("o_orderkey") % 3 == 0, F.col("qualified_name")).when(F.col("o_orderkey") % 3 == 1, F.col("owner")).otherwise(F.upper("name"))
     return rows.select(F.col("o_orderkey").alias("id"), "from_node_id", name.alias("reference_name"), F.lit("calls").alias("reference_kind"), "line", "file_path", "language")
 
