@@ -12,7 +12,7 @@ from ..operators import search as R
 from ..operators import snapshot as S
 from ..operators import style as C
 from ..operators import traverse as G
-from ..sources.tables import SQL_GRAPH, _read, graph
+from ..sources.tables import SQL_GRAPH, _read, around, build_edges, build_nodes, graph
 from ..streaming.watch import debounced
 
 QUERIES: dict = {}
@@ -219,12 +219,12 @@ _CALLERS = "kind IN ('calls', 'references', 'imports')"
 
 @query(f"SELECT e.source AS id, e.kind AS edge_kind, e.line, e.confidence, n.name, n.file_path FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = '{P0}' AND e.source <> e.target AND e.{_CALLERS}")
 def callers_depth1(spark, sf):
-    return G.call_sites(*graph(spark, sf), P0)
+    return G.call_sites(*around(spark, sf, "target", P0), P0)
 
 
 @query(f"SELECT e.target AS id, e.kind AS edge_kind, e.line, e.confidence, n.name, n.file_path FROM edges e JOIN nodes n ON n.id = e.target WHERE e.source = 'method:o1' AND e.source <> e.target AND e.{_CALLERS}")
 def callees_depth1(spark, sf):
-    return G.call_sites(*graph(spark, sf), "method:o1", incoming=False)
+    return G.call_sites(*around(spark, sf, "source", "method:o1"), "method:o1", incoming=False)
 
 
 def _bfs_sql(start: str, step: str, depth: int, kinds: str = "true") -> str:
@@ -265,7 +265,7 @@ def call_graph(spark, sf):
 
 @query("SELECT e.source AS id, e.kind AS edge_kind, e.line, n.name, n.file_path FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 'class:c7'")
 def find_usages(spark, sf):
-    return G.usages(*graph(spark, sf), "class:c7")
+    return G.usages(*around(spark, sf, "target", "class:c7"), "class:c7")
 
 
 @query(", step AS (SELECT target AS a, source AS b, 1 AS cost FROM edges UNION ALL SELECT source, target, 0 FROM edges JOIN nodes n ON n.id = source WHERE edges.kind = 'contains' AND n.kind IN ('class', 'interface')), r AS (SELECT 'class:c7' AS id, 0 AS depth UNION SELECT s.b, r.depth + s.cost FROM r JOIN step s ON s.a = r.id WHERE r.depth + s.cost <= 2 AND r.depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY id", recursive=True)
@@ -290,7 +290,7 @@ def ancestors(spark, sf):
 
 @query("SELECT n.id, n.name, n.start_line FROM edges e JOIN nodes n ON n.id = e.target WHERE e.source = 'class:c7' AND e.kind = 'contains'")
 def children_outline(spark, sf):
-    return G.children(*graph(spark, sf), "class:c7").select("id", "name", "start_line")
+    return G.children(*around(spark, sf, "source", "class:c7"), "class:c7").select("id", "name", "start_line")
 
 
 @query(", r AS (SELECT 'interface:s9' AS id, 0 AS depth UNION SELECT e.target, r.depth + 1 FROM r JOIN edges e ON e.source = r.id AND e.kind = 'extends' WHERE r.depth < 20) SELECT id, min(depth)::INT AS step FROM r GROUP BY id", recursive=True)
@@ -308,12 +308,17 @@ _DEP = "fd AS (SELECT DISTINCT t.file_path AS file, s.file_path AS dependent FRO
 
 @query(f", {_DEP} SELECT file, dependent FROM fd")
 def file_dependents(spark, sf):
-    return G.file_dependents(*graph(spark, sf))
+    return G.file_dependents(*_dependency_graph(spark, sf))
+
+
+def _dependency_graph(spark, sf):
+    """(nodes, edges) for dependencies of files, which are distinct pairs: not held, calls may repeat."""
+    return build_nodes(spark, sf), build_edges(spark, sf, F.col("kind").isin(*G.DEPENDENCY_KINDS), repeats=True)
 
 
 @query(f", {_DEP}, a AS (SELECT min(path) AS f FROM np), r AS (SELECT f AS file, 0 AS depth FROM a UNION SELECT fd.dependent, r.depth + 1 FROM r JOIN fd ON fd.file = r.file WHERE r.depth < 5 AND NOT contains(r.file, 'europe/')) SELECT DISTINCT file AS file_path FROM r WHERE contains(file, 'europe/')", recursive=True)
 def affected_tests(spark, sf):
-    n, e = graph(spark, sf)
+    n, e = _dependency_graph(spark, sf)
     first = n.where("kind = 'file'").agg(F.min("file_path")).first()[0]
     return G.affected_tests(spark, n, e, [first], lambda p: p.contains("europe/"))
 
@@ -335,7 +340,7 @@ def filtered_subgraph(spark, sf):
 
 @query(f"SELECT source AS neighbour, kind, line, confidence, confidence < 0.5 AS low_confidence FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC NULLS LAST, line NULLS FIRST, kind) AS rn FROM edges WHERE target = '{P0}' AND {_CALLERS}) WHERE rn = 1")
 def relations_best_edge(spark, sf):
-    return G.best_relations(_e(spark, sf), P0)
+    return G.best_relations(around(spark, sf, "target", P0)[1], P0)
 
 
 @query("SELECT 'child' AS role, target AS id FROM edges WHERE source = 'class:c7' AND kind = 'contains' UNION ALL SELECT 'parent', source FROM edges WHERE target = 'class:c7' AND kind = 'contains' UNION ALL SELECT 'in', source FROM edges WHERE target = 'class:c7' AND kind <> 'contains' UNION ALL SELECT 'out', target FROM edges WHERE source = 'class:c7' AND kind <> 'contains'")

@@ -22,7 +22,8 @@ def nation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", F.concat(_slug("r_name"), F.lit("/"), _slug("n_name")).alias("path"))  # 5 regions
 
 
-def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_nodes(spark: SparkSession, sf_dir: str, only=None) -> DataFrame:
+    """``only``: a condition on nodes, put on each part before the union, so that it reaches the tables."""
     np_ = nation_paths(spark, sf_dir)
     cust = _read(spark, sf_dir, "customer").join(np_, F.col("c_nationkey") == F.col("n_nationkey"))
     supp = _read(spark, sf_dir, "supplier").join(np_, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -32,7 +33,8 @@ def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def node(df, id_, kind, name, qualified, path, language, start, end, exported, h=none, shape=none):
         line = lambda c: F.col(c).cast("int") if isinstance(c, str) else c.cast("int")
-        return df.select(id_.alias("id"), F.lit(kind).alias("kind"), name.alias("name"), qualified.alias("qualified_name"), path.alias("file_path"), language.alias("language"), line(start).alias("start_line"), line(end).alias("end_line"), exported.alias("is_exported"), h.alias("ast_hash"), shape.alias("ast_shape_hash"))
+        out = df.select(id_.alias("id"), F.lit(kind).alias("kind"), name.alias("name"), qualified.alias("qualified_name"), path.alias("file_path"), language.alias("language"), line(start).alias("start_line"), line(end).alias("end_line"), exported.alias("is_exported"), h.alias("ast_hash"), shape.alias("ast_shape_hash"))
+        return out if only is None else out.where(only)
 
     at = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     pname = F.regexp_replace("p_name", " ", "_")
@@ -50,7 +52,9 @@ def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_edges(spark: SparkSession, sf_dir: str, only=None, repeats: bool = False) -> DataFrame:
+    """``only``: a condition on source, target and kind, put on each part before the union, so that it reaches the tables.
+    ``repeats`` leaves calls as they are, for what asks only whether there is an edge."""
     np_ = nation_paths(spark, sf_dir)
     cust = _read(spark, sf_dir, "customer").join(np_, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("path").alias("c_path"))
     supp = _read(spark, sf_dir, "supplier").join(np_, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("path").alias("s_path"))
@@ -59,14 +63,17 @@ def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
 
     def edge(df, source, target, kind, line=none_i, confidence=none_d, by=none_s):
-        return df.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), line.alias("line"), confidence.cast("double").alias("confidence"), by.alias("resolved_by"))
+        out = df.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), line.alias("line"), confidence.cast("double").alias("confidence"), by.alias("resolved_by"))
+        return out if only is None else out.where(only)
 
-    by = F.when(F.col("l_returnflag") == "A", "import").when(F.col("l_returnflag") == "N", "exact-match").otherwise("fuzzy")
     far = items.where("l_quantity >= 50 AND l_discount >= 0.09").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     far = far.join(cust, F.col("o_custkey") == F.col("c_custkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey")).where("c_path <> s_path").select("c_path", "s_path").distinct()
-    calls = edge(items, at("method:o", "l_orderkey"), at("function:p", "l_partkey"), "calls", F.col("l_linenumber").cast("int"), F.round(1 - 8 * F.col("l_discount"), 2), by)
-    # only calls repeat: they alone are collapsed, before the union
-    calls = calls.groupBy("source", "target", "kind", "line").agg(F.min("confidence").alias("confidence"), F.min("resolved_by").alias("resolved_by"))
+    # only calls repeat: they alone are collapsed, by their numbers, which is cheaper than by text, before the union
+    by = F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 0).otherwise(1)  # in the order of the names
+    calls = items.select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("int").alias("line"), F.round(1 - 8 * F.col("l_discount"), 2).alias("confidence"), by.alias("by"))
+    if not repeats:
+        calls = calls.groupBy("l_orderkey", "l_partkey", "line").agg(F.min("confidence").alias("confidence"), F.min("by").alias("by"))
+    calls = edge(calls, at("method:o", "l_orderkey"), at("function:p", "l_partkey"), "calls", F.col("line"), F.col("confidence"), F.element_at(F.array(*map(F.lit, ("exact-match", "fuzzy", "import"))), F.col("by") + 1))
     rows = [
         calls,
         edge(cust, F.concat(F.lit("file:"), "c_path"), at("class:c", "c_custkey"), "contains"),
@@ -92,6 +99,18 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _held[key]
 
 
+def around(spark: SparkSession, sf_dir: str, at: str, id_: str, most: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with all edges at one symbol (``at``: source or target) and the nodes at their ends, and not
+    more, for questions about one symbol: the graph need not be built. Up to ``most`` edges return to the driver,
+    and their ends are sought in the tables; more than that stay tables, and nodes are not filtered."""
+    edges = build_edges(spark, sf_dir, F.col(at) == id_)
+    found = edges.limit(most + 1).collect()
+    if len(found) > most:
+        return build_nodes(spark, sf_dir), edges
+    ids = sorted({x for r in found for x in (r["source"], r["target"]) if x is not None})
+    return build_nodes(spark, sf_dir, F.col("id").isin(*ids)), spark.createDataFrame(found, edges.schema)
+
+
 SQL_GRAPH = """np AS (SELECT n_nationkey, n_name, replace(lower(r_name), ' ', '_') || '/' || replace(lower(n_name), ' ', '_') AS path
   FROM nation JOIN region ON n_regionkey = r_regionkey),
 cust AS (SELECT * FROM customer JOIN np ON c_nationkey = n_nationkey), supp AS (SELECT * FROM supplier JOIN np ON s_nationkey = n_nationkey),

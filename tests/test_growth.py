@@ -1,9 +1,13 @@
 """Operators whose intermediate rows must grow with the input, not with the square of a group."""
 
+import duckdb
 import pytest
 
 from graphloom.operators import resolve as V
+from graphloom.plans import catalog
+from graphloom.sources import tables
 
+SF = "/root/testdata/sf0.001"
 NODE = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, is_exported boolean"
 REF = "id long, from_node_id string, reference_name string, reference_kind string, line int, file_path string, language string"
 
@@ -41,3 +45,16 @@ def test_pools_choose_what_pairs_would(spark, monkeypatch):
     pooled = sorted(map(tuple, V.by_exact_name(refs, nodes).collect()))
     monkeypatch.setattr(V, "PAIRED", 100)
     assert len(pooled) == 30 and pooled == sorted(map(tuple, V.by_exact_name(refs, nodes).collect()))
+
+
+@pytest.mark.parametrize("name", ["callers_depth1", "callees_depth1", "find_usages", "children_outline", "relations_best_edge", "affected_tests", "file_dependents"])
+def test_questions_about_a_part_do_not_hold_the_graph(spark, name):
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    tables._held.clear()
+    df = catalog.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, df.select(*cols).collect())) == sorted(map(key, con.sql(catalog.ORACLES[name]).project(", ".join(cols)).fetchall()))
+    assert not tables._held
