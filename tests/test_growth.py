@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from graphloom.operators import extract as X
 from graphloom.operators import resolve as V
 from graphloom.plans import catalog
 from graphloom.sources import tables
@@ -58,3 +59,10 @@ def test_questions_about_a_part_do_not_hold_the_graph(spark, name):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, df.select(*cols).collect())) == sorted(map(key, con.sql(catalog.ORACLES[name]).project(", ".join(cols)).fetchall()))
     assert not tables._held
+
+
+def test_extraction_is_dealt_out_to_all_cores(spark):
+    files = spark.createDataFrame([(f"p{i}.py", f"def f{i}():\n    pass\n") for i in range(64)], "path string, content string").coalesce(1)
+    df = X.extract(files)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r["name"] for r in df.where("kind = 'function'").collect()) == sorted(f"f{i}" for i in range(64))
